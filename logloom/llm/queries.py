@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, token_counts
 
-QUERIES = {"op1_mix": mixing.op1_mix}
+QUERIES = {
+    "op1_mix": mixing.op1_mix,
+    "op4_token_counts": token_counts.op4_token_counts,
+}
 SQL = {"op1_mix": mixing.SQL}
