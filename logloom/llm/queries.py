@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts
+from . import language, mixing, token_counts
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op8_language": language.op8_language,
 }
 SQL = {"op1_mix": mixing.SQL}
