@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, token_counts
+from . import language, mixing, near_dedup, token_counts
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_language": language.op8_language,
 }
 SQL = {"op1_mix": mixing.SQL}
