@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._ship import ship
 from ._spark import table
 from ._text import column, slices
 
@@ -308,6 +309,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Adds lang_pred and score to the kept columns."""
     from pyspark.sql.types import DoubleType, StringType
 
+    ship(docs.sparkSession)
     # the model's size is fixed by DIM and the number of languages
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep if c not in ("lang_pred", "score")]

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .._ship import ship
 from ._graph import components
 from ._spark import cut, free_shuffles, stash, table
 from ._text import LOWER, U, column, flat, mix, owner, shingles, slices, word_hashes, words
@@ -169,6 +170,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, comp) of every text that has a near copy of other content."""
     spark = docs.sparkSession
+    ship(spark)
     seen = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", node_of(F.col("text")).alias("node"))
     signed = stash(seen.mapInArrow(_sign, "node binary, doc_id long, keys array<long>"))
     one = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .._ship import ship
 from ._spark import table
 from ._text import column, slices
 
@@ -220,6 +221,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             size = np.array([len(t.encode()) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 

@@ -12,20 +12,11 @@ SEEDS = np.array([0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0x
 _PLACE = U((1 << 24) - 1)
 
 
-def compact_windows(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (l, p, r) of all texts' values, at least t wide, as places in ``values``.
-
-    Every run of t or more values of a text, [a, b], lies in exactly one window
-    with l <= a <= p <= b <= r, and p holds the run's leftmost least value.
-
-    The nodes of the Cartesian tree with t or more values below them are the
-    minima of the runs of exactly t values, and their tree is the tree of these
-    places alone; so the tree is built on a small part of the places.
-    """
+def run_minima(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the leftmost least value of every run of t values of a text, and the values in a strict order."""
     n = len(values)
-    none = (np.zeros(0, np.int64),) * 3
     if n < t:
-        return none
+        return np.zeros(0, np.int64), values
     own = owner(at)
     # equal values are told apart by their place, the left one first
     place = (np.arange(n) - at[own]).astype(U)
@@ -41,8 +32,23 @@ def compact_windows(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndar
     new = np.ones(len(start), bool)
     new[1:] = low[1:] != low[:-1]
     start, low = start[new], low[new]
-    p = np.unique(start + ((low - place[start]) & _PLACE).astype(np.int64))
-    text = own[p]
+    return np.unique(start + ((low - place[start]) & _PLACE).astype(np.int64)), x
+
+
+def compact_windows(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (l, p, r) of all texts' values, at least t wide, as places in ``values``.
+
+    Every run of t or more values of a text, [a, b], lies in exactly one window
+    with l <= a <= p <= b <= r, and p holds the run's leftmost least value.
+
+    The nodes of the Cartesian tree with t or more values below them are the
+    minima of the runs of exactly t values, and their tree is the tree of these
+    places alone; so the tree is built on a small part of the places.
+    """
+    p, x = run_minima(values, at, t)
+    if not len(p):
+        return p, p, p
+    text = np.searchsorted(at, p, "right") - 1
     before, after = _smaller(x[p], text)
     left = np.where(before >= 0, p[before] + 1, at[text])
     right = np.where(after >= 0, p[after] - 1, at[text + 1] - 1)
