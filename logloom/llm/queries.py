@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
+from . import language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_language": language.op8_language,
+    "op9_licenses": licenses.op9_licenses,
 }
-SQL = {"op1_mix": mixing.SQL}
+SQL = {"op1_mix": mixing.SQL, "op9_licenses": licenses.SQL}
