@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
+from . import katz, language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_language": language.op8_language,
     "op9_licenses": licenses.op9_licenses,
+    "op10_katz": katz.op10_katz,
 }
 SQL = {"op1_mix": mixing.SQL, "op9_licenses": licenses.SQL}
