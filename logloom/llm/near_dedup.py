@@ -10,9 +10,10 @@ are made for all shingles of a batch at once, and only up to the time by which
 a text's registers are full.
 
 Signatures are banded; texts that share a band are candidates.  A group of m
-texts is not expanded into its pairs: a few leaders are verified against all
-members, then classes are joined, and while a group holds more than one class,
-the classes' leaders are verified against all members outside their class.
+texts is not expanded into its pairs: its first text is verified against all
+others and classes are joined.  While a group holds more than one class, the
+classes' first texts meet the first of them, and texts of different classes meet
+where their signatures lie side by side, until no round finds a link.
 Exact copies are one text from the start.  Verification compares the multisets
 themselves: sum of minima over sum of maxima, 0.8 or more.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship
@@ -38,6 +39,7 @@ from ._text import LOWER, U, column, flat, mix, owner, shingles, slices, word_ha
 
 REGISTERS, ROWS = 48, 3
 SIMILAR = 0.8
+ORDER = ("band", "n1", "n2", "n3")
 SHINGLE = 5
 _K = np.array([0x8CB92BA72F3D8DD7, 0xABE1D3F9B5C6D2E5, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)
 
@@ -174,52 +176,61 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     seen = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", node_of(F.col("text")).alias("node"))
     signed = stash(seen.mapInArrow(_sign, "node binary, doc_id long, keys array<long>"))
     one = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-    rows = one.select("node", "least", F.explode("keys").alias("band"))
-    many = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    # each band's row carries the next bands' keys, which put like texts side by side
+    n = REGISTERS // ROWS
+    turn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(*[F.element_at("keys", ((i + j) % n + 1).cast("int")).alias(c) for j, c in enumerate(ORDER)]))
+    rows = one.select("node", "least", F.explode(turn).alias("k")).select("node", "least", "k.*")
+    many = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     members = stash(rows.join(many, "band"))
     needed = members.select("node").distinct()
     texts = stash(seen.join(needed, "node").groupBy("node").agg(F.first("text").alias("text")))
     free_shuffles(spark)
-    least = F.struct(F.col("least").isNull().alias("o"), "least", "node")
-    comp, edges, tested, width = None, None, None, 1
+    head = F.struct(F.col("least").isNull().alias("o"), "least", "node")
+    first = members.groupBy("band").agg(F.min(head).alias("h")).select("band", F.col("h.node").alias("a"))
+    pairs = members.select("band", F.col("node").alias("b")).join(first, "band").where("a <> b").select("a", "b").distinct()
+    comp, edges, tested = None, None, None
     while True:
-        m = members.select("band", "node", "least", "m")
-        m = m.withColumn("comp", F.col("node")) if comp is None else m.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        heads = m.groupBy("band", "comp").agg(F.min(least).alias("h"), F.first("m").alias("m"))
-        # the first heads of each band in order; small groups take all of theirs
-        order = Window.partitionBy("band").orderBy("h")
-        first = heads.groupBy("band").agg(F.min("h").alias("h"), F.min(F.col("m")).alias("m"), F.count("*").alias("c")).where("c > 1")
-        if width == 1:
-            big = first.where("m > 8").select("band", "h")
-            small = heads.where("m <= 8").select("band", "h")
-            lead = big.unionByName(small)
-        else:
-            open_bands = first.select("band")
-            lead = heads.join(open_bands, "band").withColumn("r", F.row_number().over(order)).where(F.col("r") <= width).select("band", "h")
-        lead = lead.select("band", F.col("h.node").alias("a"))
-        owner_ = m.select(F.col("band"), F.col("node").alias("b"), F.col("comp").alias("cb"))
-        head_comp = m.select("band", F.col("node").alias("a"), F.col("comp").alias("ca"))
-        pairs = lead.join(head_comp, ["band", "a"]).join(owner_, "band").where("ca <> cb")
-        # a pair may come from several bands and in either order; a stays the leader
-        pairs = pairs.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
         if tested is not None:
-            key = tested.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-            pairs = pairs.withColumn("x", F.greatest("a", "b")).withColumn("y", F.least("a", "b")).join(key, ["x", "y"], "left_anti").drop("x", "y")
+            known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
         done = stash(verify(pairs, texts))
-        n = done.count()
-        if not n:
-            break
         good = done.where(F.col("j") >= similar).select("a", "b")
         tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
+        if not good.limit(1).count():
+            break
         edges = good if edges is None else edges.unionByName(good)
         comp = cut(components(edges))
-        width *= 4
         free_shuffles(spark)
+        # bands that still hold several classes: their heads meet the first of them, and
+        # texts of different classes meet where their signatures lie side by side
+        m = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        some = m.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+        m = stash(m.join(some, "band"))
+        heads = m.groupBy("band", "comp").agg(F.min(head).alias("h"))
+        lead = heads.groupBy("band").agg(F.min("h").alias("l"))
+        star = heads.join(lead, "band").where("h <> l").select(F.col("l.node").alias("a"), F.col("h.node").alias("b"))
+        laid = m.select(*ORDER, "node", "comp").repartitionByRange(*ORDER, "node").sortWithinPartitions(*ORDER, "node")
+        side = laid.mapInArrow(_neighbours, "a binary, b binary")
+        pairs = star.unionByName(side).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if comp is None:
         return spark.createDataFrame([], "node binary, comp binary")
     return comp
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows that follow one another, of one band and different classes."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks().to_batches()[0]
+        last = batch.slice(batch.num_rows - 1)
+        band, comp, node = column(whole, "band").to_numpy(), column(whole, "comp").to_pylist(), column(whole, "node")
+        at = [i for i in np.flatnonzero(band[1:] == band[:-1]) if comp[i] != comp[i + 1]]
+        at = np.array(at, np.int64)
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(at + 1))], names=["a", "b"])
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, class_id (its class's least doc_id) and class_size."""
     comp = classes(docs, similar)
