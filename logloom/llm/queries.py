@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, katz, language, licenses, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, katz, language, licenses, mixing, near_dedup, nearest, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_nearest": nearest.op2_nearest,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_decontaminate": decontaminate.op5_decontaminate,
