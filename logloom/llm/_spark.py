@@ -45,6 +45,15 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stash that nothing reads any more."""
+    jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("stash-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop shuffle files of plans that are gone."""
     import gc
