@@ -37,20 +37,17 @@ from .windows import run_minima
 LENGTH = 400
 ANCHOR = 200
 BASE = U(0xF1357AEA2E62A9C5)
-CHUNK = 1 << 21  # bytes of contexts that a task sorts at once
-_tables: dict[tuple[int, int], np.ndarray] = {}
+CHUNK = 1 << 20  # bytes of contexts that a task sorts at once
+PIECE = 1 << 20  # bytes of text hashed at once
+_tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    for (b, m), t in _tables.items():
-        if b == base and m >= n:
-            return t[:n]
-    size = 1 << max(12, int(n - 1).bit_length())
-    t = np.full(size, base, U)
-    t[0] = 1
-    np.multiply.accumulate(t, out=t)
-    _tables[(base, size)] = t
-    return t[:n]
+    if len(_tables.get(base, ())) < n:
+        t = np.full(1 << max(12, int(n - 1).bit_length()), base, U)
+        t[0] = 1
+        _tables[base] = np.multiply.accumulate(t)
+    return _tables[base][:n]
 
 
 def _inverse(base: int) -> int:
@@ -92,7 +89,7 @@ def anchors(buf: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = ANCH
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, most=PIECE):
         buf, at = flat(column(batch, "text"))
         text, place, key, context = anchors(buf, at)
         if len(text):
@@ -105,7 +102,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = LENGTH - ANCHOR
-    for batch in slices(batches):
+    for batch in slices(batches, most=PIECE):
         nid, text = column(batch, "nid").to_pylist(), column(batch, "text").to_pylist()
         rows: list[tuple] = []
         for i, wanted in enumerate(column(batch, "w").to_pylist()):
@@ -113,7 +110,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in wanted:
                 left = max(0, x["pos"] - reach)
                 rows.append((x["key"], nid[i], x["pos"], x["pos"] - left, data[left : x["pos"] + LENGTH]))
-            if len(rows) > 20_000:
+            if len(rows) > 5_000:
                 yield _rows(rows)
                 rows = []
         if rows:
