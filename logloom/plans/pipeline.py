@@ -26,7 +26,7 @@ NORMALIZED = "raw_id long, time long, class_uid long, parser string, source stri
 
 def latin1(content):
     """Bytes as text, one character a byte."""
-    return F.decode(content, F.lit("ISO-8859-1"))
+    return F.decode(content, "ISO-8859-1")
 
 
 def run_step(step: Step, text: str) -> st.Pairs:

@@ -48,10 +48,10 @@ def tail_folder(spark: SparkSession, folder: str, files_per_trigger: int = 64) -
     """A stream of the events of new files; admission is bounded, nothing is dropped."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     read = files.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     events = F.filter(F.split(text, r"(?<=\n)(?![ \t\r\n])"), lambda x: x != "")
     out = read.select(F.element_at(F.split("path", "/"), -1).alias("source"), (F.unix_micros(F.current_timestamp()) * 1000).alias("receipt_ns"), F.posexplode(events).alias("pos", "event"))
-    return out.withColumn("bytes", F.encode("event", F.lit("ISO-8859-1"))).drop("event")
+    return out.withColumn("bytes", F.encode("event", "ISO-8859-1")).drop("event")
 
 
 def serve(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
