@@ -100,14 +100,18 @@ def _passages(o: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _document_counts(space: Space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(len(space.terms), np.int64), 0
-        for batch in slices(batches):
+        d = len(space.terms)
+        total, seen = np.zeros(d, np.int64), 0
+        for batch in slices(batches, most=1 << 19):
             h, o = tokens(*flat(column(batch, "text")))
             p, first = _passages(o, 4 * BLOCK)
             t = space.lookup(h)
             on = t >= 0
-            pairs = np.unique(p[on] * len(space.terms) + t[on])
-            total += np.bincount(pairs % len(space.terms), minlength=len(space.terms))
+            for i in range(0, int(first[-1]), 4096):  # a mark for each passage and term
+                part = on & (p >= i) & (p < i + 4096) if first[-1] > 4096 else on
+                mark = np.zeros(min(4096, int(first[-1]) - i) * d, bool)
+                mark[(p[part] - i) * d + t[part]] = True
+                total += mark.reshape(-1, d).sum(0)
             seen += int(first[-1])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], seen))], names=["term", "n"])
@@ -182,7 +186,6 @@ def judge(item: np.ndarray, answer: np.ndarray, text: np.ndarray) -> tuple[float
 
 def _search(space: Space, near: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = len(space.terms)
         v = np.vstack([space.vectors, np.zeros((1, space.vectors.shape[1]))]).astype(np.float32)
         for batch in slices(batches, most=1 << 20):
             h, o = tokens(*flat(column(batch, "text")))
@@ -191,21 +194,22 @@ def _search(space: Space, near: float):
             t = space.lookup(h)
             p, first = _passages(o, BLOCK)
             on = np.flatnonzero(t >= 0)
-            blocks = np.zeros((int(first[-1]) + 8, v.shape[1]), np.float32)
-            if len(on):
-                q = p[on]
-                heads = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-                blocks[q[heads]] = np.add.reduceat(v[t[on]], heads, axis=0)
-            text = np.repeat(np.arange(len(o) - 1), np.diff(first))
+            if not len(on):
+                continue
+            # blocks with a term; passages that start at another block hold no more than the next one
+            q = p[on]
+            heads = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+            block, text = q[heads], np.searchsorted(o, on[heads], "right") - 1
+            blocks = np.add.reduceat(v[t[on]], heads, axis=0)
+            rows, reach = blocks.copy(), 1
             best: dict[tuple[int, int], tuple] = {}
             for size, which, units in space.scales:
-                # a passage may run over its text's end: those blocks count for nothing
-                rows = blocks[: len(text)].copy()
-                for k in range(1, size):
-                    same = np.zeros(len(text), bool)
-                    same[: len(text) - k] = text[k:] == text[: len(text) - k]
-                    rows[same] += blocks[k : k + len(text)][same]
-                norm = np.sqrt((rows * rows).sum(1))
+                for k in range(reach, size):
+                    at = np.minimum(np.searchsorted(block, block + k), len(block) - 1)
+                    has = np.flatnonzero((block[at] == block + k) & (text[at] == text))
+                    rows[has] += blocks[at[has]]
+                reach = size
+                norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
                 some = np.flatnonzero(norm > 0)
                 for i in range(0, len(some), 8192):
                     s = some[i : i + 8192]
@@ -214,7 +218,7 @@ def _search(space: Space, near: float):
                         x, item = int(text[s[a]]), int(which[b])
                         if (x, item) in best and best[x, item][1] >= 1:
                             continue
-                        lo = int(o[x] + (s[a] - first[x]) * BLOCK)
+                        lo = int(o[x] + (block[s[a]] - first[x]) * BLOCK)
                         low, high = max(int(o[x]), lo - BLOCK), min(int(o[x + 1]), lo + (size + 1) * BLOCK)
                         share, at, kind = judge(space.items[item], space.answers[item], h[low:high])
                         if kind and ((x, item) not in best or share > best[x, item][1]):
