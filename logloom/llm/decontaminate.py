@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -41,6 +42,8 @@ ITEMS = 256  # items handled at once
 ITEM_BYTES = 1 << 20
 RANK = 256
 EXTRA = 16
+CHUNK = 128  # terms whose part of the sketch is summed at once
+FAN, LEVELS = 64, 3  # enough for 262,144 partitions
 COMMON = 0.002  # share of passages above which a term is common
 NEAR = 0.45  # cosine of a candidate
 LCS, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
@@ -140,8 +143,9 @@ def _sketch(space: Space, omega_seed: int, width: int):
             at = np.flatnonzero(np.append(True, t[order][1:] != t[order][:-1]))
             out[t[order][at]] += np.add.reduceat(rows[which[order]], at, axis=0)
         out *= space.idf[:, None]
-        for i in range(0, d, 256):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([out[i : i + 256].tobytes()])], names=["chunk", "data"])
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for i in range(0, d, CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part], pa.int64()), pa.array([out[i : i + CHUNK].tobytes()])], names=["chunk", "part", "data"])
 
     return run
 
@@ -150,7 +154,7 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.frombuffer(pdf["data"].iloc[0], np.float64).copy()
     for x in pdf["data"].iloc[1:]:
         total += np.frombuffer(x, np.float64)
-    return pd.DataFrame({"chunk": [pdf.chunk.iloc[0]], "data": [total.tobytes()]})
+    return pd.DataFrame({"chunk": [pdf.chunk.iloc[0]], "part": [pdf.part.iloc[0]], "data": [total.tobytes()]})
 
 
 def _lcs(item: np.ndarray, text: np.ndarray) -> int:
@@ -270,10 +274,13 @@ def fit(docs: DataFrame, space: Space, rank: int = RANK) -> Space:
     space = Space(space.ids, space.items, space.terms[keep], np.maximum(idf, 0.1))
     d = len(keep)
     width = min(d, rank + EXTRA)
-    parts = docs.select("text").mapInArrow(_sketch(space, 11, width), "chunk long, data binary").groupBy("chunk").applyInPandas(_add, "chunk long, data binary")
+    parts = docs.select("text").mapInArrow(_sketch(space, 11, width), "chunk long, part long, data binary")
+    # a tree of sums: no task adds up more than FAN matrices of a chunk for each level
+    for _ in range(LEVELS):
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("chunk", "part").applyInPandas(_add, "chunk long, part long, data binary")
     y = np.zeros((d, width))
     for r in parts.collect():  # terms x width numbers, bounded by the block of items
-        y[r[0] : r[0] + 256] = np.frombuffer(r[1], np.float64).reshape(-1, width)
+        y[r.chunk : r.chunk + CHUNK] = np.frombuffer(r["data"], np.float64).reshape(-1, width)
     omega = np.random.default_rng(11).standard_normal((d, width))
     if not y.any():
         basis = np.eye(d, min(d, width))
