@@ -261,3 +261,22 @@ def test_mix(spark):
     again = mix_documents(df.repartition(7)).toPandas()
     assert sorted(again.taken) == sorted(out.taken)
     assert mix_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [10**6, 40])
+def test_components(spark, monkeypatch, part):
+    from logloom.llm import _graph
+
+    monkeypatch.setattr(_graph, "PART", part)
+    r = random.Random(7)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(100)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {x.node: x.comp for x in _graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
