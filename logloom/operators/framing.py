@@ -39,8 +39,7 @@ def glob_match(pattern: str, path: str) -> bool:
 def read_files(spark: SparkSession, root: str, include: Iterable[str] = (), exclude: Iterable[str] = EXCLUDES) -> DataFrame:
     """source (path below the root) and content of the files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.substring_index(F.col("path"), base, -1)
+    path = F.substring_index("path", root.rstrip("/") + "/", -1)
     out = files.select(path.alias("source"), "content")
     wanted = F.lit(True)
     if include:

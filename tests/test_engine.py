@@ -268,3 +268,43 @@ def test_inference(spark):
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "source string, raw_id long, line string")
     rows = infer.infer_templates(df).collect()
     assert len(rows) == 2 and definitions.parser_of(__import__("tomllib").loads(rows[0].definition)).name == "s"
+
+
+def test_engine(spark, tmp_path):
+    import shutil
+
+    from logloom.engine import Engine
+
+    logs, parsers = tmp_path / "logs", tmp_path / "parsers"
+    logs.mkdir()
+    shutil.copytree(definitions.HERE / "parsers", parsers)
+    (logs / "a.log").write_bytes("".join(x if x.endswith("\n") else x + "\n" for x in LINES).encode("latin-1"))
+    (logs / "b.log").write_text("".join(f"login of user{i} took {i} ms\n" for i in range(8)))
+    (logs / "README").write_text("not a log")
+    e = Engine(spark, str(tmp_path / "state"), str(parsers))
+    assert e.ingest(str(logs), receipt_ns=RECEIPT) == 14
+    assert e.verify().count() == 0 and e.attest().count() == 2
+    assert e.metrics().first().events == 14 and e.tail(limit=3).count() == 3
+    assert [r.value for r in e.entities("src_ip", "203.").collect()] == ["203.0.113.9"]
+    page = e.pivot("src_ip", "10.0.0.1")
+    assert page["events"].count() == 2 and page["header"].first().events == 2
+    t = e.traceback(0)
+    assert t["fields"][0][0] == "syslog_pri" and t["line"] and len(t["sha256"]) == 64
+    assert e.infer() == 1
+    r = e.review()
+    assert r.pending().count() == 1 and r.diff("b.log")
+    r.approve("b.log")
+    assert r.pending().count() == 0 and e.reload() == []
+    v = e.replay()
+    assert {x.change for x in e.diff_page(1, v).collect()} == {"changed"} and e.diff_page(1, v).count() == 8
+    assert e.export(0, 5, ["DENY"]).count() >= 1 and e.drift_alerts().count() == 0
+
+
+def test_drift_machine():
+    from logloom.streaming.stateful import judge
+
+    s, trips = (0, 0, False, 0), 0
+    for m in [0, 0, 0, 300, 300, 0, 0, 0, 0, 0]:
+        s, t = judge(s, 512, m)
+        trips += t
+    assert (s, trips) == ((512, 0, False, 0), 1)
