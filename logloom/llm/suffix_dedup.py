@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ._spark import free_shuffles, partitions, stash, table
+from ._spark import discard, free_shuffles, partitions, stash, table
 from ._text import BYTE, STEP, U, column, flat, mix, slices
 from .substring_dedup import nid_of
 from .windows import run_minima
@@ -277,7 +277,10 @@ def covered(docs: DataFrame) -> DataFrame:
     found = stash(seen.mapInArrow(_anchors, "key long, ctx long, nid long, pos int, size int"))
     place = F.struct("nid", "pos")
     twice = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
-    hits = stash(found.join(twice, "key").groupBy("key", "ctx", "nid", "pos").agg(F.first("size").alias("size")))
+    # copies of a text give equal rows; dealt anew, as one key may have most of them
+    same = found.join(twice, "key").repartition("nid", "pos").groupBy("key", "ctx", "nid", "pos")
+    hits = stash(same.agg(F.first("size").alias("size")))
+    discard(found)
     free_shuffles(spark)
     kinds = hits.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("rep"))
     full = hits.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"])
@@ -290,6 +293,8 @@ def covered(docs: DataFrame) -> DataFrame:
     buckets = 4 * partitions(spark)
     part = contexts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(_bucket, "nid long, s long, e long")
     every = stash(spans.unionByName(part))
+    discard(hits)
+    discard(wanted)
     free_shuffles(spark)
     return every.groupBy("nid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
