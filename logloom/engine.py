@@ -17,7 +17,7 @@ from .operators import analytics as an
 from .operators import framing, store
 from .operators.review import Review
 from .plans.definitions import HERE, load_mapping, load_parsers
-from .plans.pipeline import latin1, normalize_events, parse_event, parse_events, provenance
+from .plans.pipeline import latin1, parse_event, process_events, provenance
 
 
 @dataclass
@@ -86,7 +86,7 @@ class Engine:
         return added.count()
 
     def _normalize(self, raw: DataFrame) -> DataFrame:
-        return normalize_events(parse_events(raw, self.parsers, self.offset), self.mapping, self.parsers)
+        return process_events(raw, self.parsers, self.mapping, self.offset)
 
     def records(self) -> DataFrame:
         return self.raw().join(self.spark.read.parquet(f"{self.root}/chain"), "raw_id")

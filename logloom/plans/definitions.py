@@ -171,8 +171,11 @@ class Mapping:
             e["by"] = {f: {ascii_lower(r): (v["value"], v["id"]) for v in vs for r in v.get("raw", [])} for f, vs in e.get("by_field", {}).items()}
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def ascii_lower(text: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return text.translate(_LOWER)
 
 
 def _check(m: Mapping) -> None:

@@ -13,7 +13,7 @@ from ..operators import analytics as an
 from ..operators import framing, store
 from ..operators.infer import infer_templates
 from .definitions import load_mapping, load_parsers
-from .pipeline import normalize_events, parse_events
+from .pipeline import process_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -367,7 +367,7 @@ def device_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsers, _ = load_parsers()
     mapping, _ = load_mapping("ocsf")
-    return normalize_events(parse_events(device_logs(spark, sf_dir), parsers), mapping, parsers)
+    return process_events(device_logs(spark, sf_dir), parsers, mapping)
 
 
 @query("""

@@ -208,6 +208,8 @@ def test_plan(spark):
     assert (c.events, c.detected, c.no_parser, c.utf8_lossy) == (6, 4, 2, 1 + 1 * got[3].utf8_lossy)
     assert pipeline.parse_events(raw, parsers, only=["asa"]).count() == 1
     again = pipeline.normalize_events(pipeline.parse_events(raw, parsers), mapping, parsers)
+    one_pass = pipeline.process_events(raw, parsers, mapping)
+    assert sorted(map(tuple, one_pass.collect())) == sorted(map(tuple, again.collect()))
     assert an.replay_diff(events, again).where("change <> 'unchanged'").count() == 0
     posts = an.postings(events)
     assert {(r.kind, r.value) for r in an.related(posts, "src_ip", "10.0.0.1").collect()} >= {("dst_ip", "10.0.0.2"), ("dst_port", "80")}
