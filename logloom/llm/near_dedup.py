@@ -13,7 +13,12 @@ Signatures are banded; texts that share a band are candidates.  A group of m
 texts is not expanded into its pairs: its first text is verified against all
 others and classes are joined.  While a group holds more than one class, the
 classes' first texts meet the first of them, and texts of different classes meet
-where their signatures lie side by side, until no round finds a link.
+where their signatures lie side by side, until no round finds a link.  These
+rounds only make classes large early.  At the end, every pair of different
+classes that shares a band and is untested meets in a cell (texts of a band and
+of like weight, salted into blocks): it is verified, unless the texts' weights or
+their shingle counts over SKETCH buckets show that the similarity is too low.
+Both are upper bounds, so no link is lost.
 Exact copies are one text from the start.  Verification compares the multisets
 themselves: sum of minima over sum of maxima, 0.8 or more.
 
@@ -40,6 +45,8 @@ from ._text import LOWER, U, column, flat, mix, owner, shingles, slices, word_ha
 REGISTERS, ROWS = 48, 3
 SIMILAR = 0.8
 ORDER = ("band", "n1", "n2", "n3")
+SKETCH = 128  # buckets of a text's shingle counts, for the upper bound
+BLOCK = 256  # texts of a cell, about
 SHINGLE = 5
 _K = np.array([0x8CB92BA72F3D8DD7, 0xABE1D3F9B5C6D2E5, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)
 
@@ -118,6 +125,16 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+def sketches(g: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each text's shingle counts, added up in SKETCH buckets of hashes.
+
+    Two texts share at most the sum of their buckets' minima.
+    """
+    n = len(offsets) - 1
+    at = owner(offsets) * SKETCH + (mix(g) >> U(32)).astype(np.int64) % SKETCH
+    return np.bincount(at, counts, n * SKETCH).astype("<u4").reshape(n, SKETCH)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         g, counts, offsets = bags(*flat(column(batch, "text")))
@@ -125,7 +142,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(np.diff(offsets))
         keys = keys[some]
         lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
-        yield pa.RecordBatch.from_arrays([column(batch, "node").take(pa.array(some)), column(batch, "doc_id").take(pa.array(some)), lists], names=["node", "doc_id", "keys"])
+        sketch = sketches(g, counts, offsets)[some]
+        kept = pa.array([row.tobytes() for row in sketch], pa.binary())
+        yield pa.RecordBatch.from_arrays([column(batch, "node").take(pa.array(some)), column(batch, "doc_id").take(pa.array(some)), lists, kept], names=["node", "doc_id", "keys", "sketch"])
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -174,7 +193,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     seen = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", node_of(F.col("text")).alias("node"))
-    signed = stash(seen.mapInArrow(_sign, "node binary, doc_id long, keys array<long>"))
+    signed = stash(seen.mapInArrow(_sign, "node binary, doc_id long, keys array<long>, sketch binary"))
     one = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     # each band's row carries the next bands' keys, which put like texts side by side
     n = REGISTERS // ROWS
@@ -188,7 +207,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     head = F.struct(F.col("least").isNull().alias("o"), "least", "node")
     first = members.groupBy("band").agg(F.min(head).alias("h")).select("band", F.col("h.node").alias("a"))
     pairs = members.select("band", F.col("node").alias("b")).join(first, "band").where("a <> b").select("a", "b").distinct()
-    comp, edges, tested = None, None, None
+    comp, edges, tested, last = None, None, None, False
     while True:
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -196,16 +215,22 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         done = stash(verify(pairs, texts))
         good = done.where(F.col("j") >= similar).select("a", "b")
         tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        if not good.limit(1).count():
+        found = bool(good.limit(1).count())
+        if found:
+            edges = good if edges is None else edges.unionByName(good)
+            comp = cut(components(edges))
+            free_shuffles(spark)
+        if last:
             break
-        edges = good if edges is None else edges.unionByName(good)
-        comp = cut(components(edges))
-        free_shuffles(spark)
-        # bands that still hold several classes: their heads meet the first of them, and
-        # texts of different classes meet where their signatures lie side by side
-        m = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        # bands that still hold several classes
+        m = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         some = m.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
         m = stash(m.join(some, "band"))
+        if not found:  # the rounds end: all that is left is tested at once
+            pairs, last = stash(_cells(m, signed, similar)), True
+            continue
+        # their heads meet the first of them, and texts of different classes meet where
+        # their signatures lie side by side
         heads = m.groupBy("band", "comp").agg(F.min(head).alias("h"))
         lead = heads.groupBy("band").agg(F.min("h").alias("l"))
         star = heads.join(lead, "band").where("h <> l").select(F.col("l.node").alias("a"), F.col("h.node").alias("b"))
@@ -217,6 +242,85 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return comp
 
 
+def _cells(m: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
+    """Distinct pairs (a, b) of different classes that share a band and that no upper bound excludes.
+
+    Weights of similar texts lie in one class of weights or in two next to one another:
+    a text is at home in its own class and visits the class below.
+    """
+    some = m.select("node").distinct()
+    sketch = signed.select("node", "sketch").join(some, "node").groupBy("node").agg(F.first("sketch").alias("sketch")).mapInArrow(_weigh, "node binary, sketch binary, weight long")
+    base = float(np.log(1.001 / similar))
+    rows = m.select("band", "node", "comp").join(stash(sketch), "node")
+    own = F.floor(F.log("weight") / F.lit(base)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("q", F.explode(F.array("own", F.col("own") - 1)))
+    rows = rows.withColumn("home", F.col("own") == F.col("q")).drop("own")
+    size = rows.groupBy("band", "q").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("home").alias("any"))
+    size = size.where("x <> y AND any").select("band", "q", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(size, ["band", "q"]).withColumn("salt", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("band", "q", F.least("salt", "other"), F.greatest("salt", "other"))
+    rows = rows.select(cell.alias("cell"), "band", "q", F.least("salt", "other").alias("s"), F.greatest("salt", "other").alias("t"), "salt", "home", "node", "comp", "weight", "sketch")
+    laid = rows.repartition(F.col("cell")).sortWithinPartitions("cell", "band", "q", "s", "t")
+    return laid.mapInArrow(_meet(similar), "a binary, b binary").distinct()
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketch = column(batch, "sketch")
+        weight = [int(np.frombuffer(x, "<u4").sum(dtype=np.int64)) for x in sketch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([column(batch, "node"), sketch, pa.array(weight, pa.int64())], names=["node", "sketch", "weight"])
+
+
+def _meet(similar: float):
+    def met(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = whole.num_rows
+        x = {c: column(whole, c).to_numpy(zero_copy_only=False) for c in ("band", "q", "s", "t", "salt", "home", "weight")}
+        new = np.zeros(n, bool)
+        for c in ("band", "q", "s", "t"):
+            new[1:] |= x[c][1:] != x[c][:-1]
+        group = np.cumsum(new)
+        comp = np.unique(np.array(column(whole, "comp").to_pylist(), object), return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(column(whole, "sketch").to_pylist()), "<u4").reshape(n, SKETCH)
+        node, w = column(whole, "node"), x["weight"]
+        i, d = np.arange(n), 0
+        while True:
+            d += 1
+            i = i[i + d < n]
+            i = i[group[i] == group[i + d]]
+            if not len(i):
+                break
+            j = i + d
+            # a pair of one salt belongs to that salt's own cell, and two visitors to the class above
+            ok = (comp[i] != comp[j]) & (x["home"][i] | x["home"][j]) & ((x["salt"][i] != x["salt"][j]) | (x["s"][i] == x["t"][i]))
+            ok &= np.minimum(w[i], w[j]) >= (similar - 1e-9) * np.maximum(w[i], w[j])
+            a = i[ok]
+            for k in range(0, len(a), 8192):
+                y, z = a[k : k + 8192], a[k : k + 8192] + d
+                both = np.minimum(sketch[y], sketch[z]).sum(1, dtype=np.int64)
+                may = both >= (similar - 1e-9) * (w[y] + w[z] - both)
+                p, q = node.take(pa.array(y[may])).to_pylist(), node.take(pa.array(z[may])).to_pylist()
+                if p:
+                    low, high = [min(u) for u in zip(p, q, strict=True)], [max(u) for u in zip(p, q, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            cell = column(whole, "cell").to_numpy()
+            at = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if at:
+                yield from met(whole.slice(0, at))
+            rest = whole.slice(at)
+        if rest is not None:
+            yield from met(rest)
+
+    return run
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of rows that follow one another, of one band and different classes."""
     last = None
