@@ -42,3 +42,25 @@ def test_cells_hold_every_similar_pair(spark, monkeypatch):
     want = {(bytes(r.a), bytes(r.b)) for r in pairs.mapInArrow(nd._verify, "a binary, b binary, j double").where("j >= 0.8").collect()}
     assert want and want <= got
     assert len(got) < len(texts) * (len(texts) - 1) // 2
+
+
+def test_passages_behind_false_leaders(spark):
+    """Every signature of a passage two texts share has an earlier text with no passage."""
+    from logloom.llm.substring_dedup import repeated_passages
+
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+
+    def around(p):
+        return " ".join([f"u{rng.random()}" for _ in range(60)] + p + [f"u{rng.random()}" for _ in range(60)])
+
+    def spoilt():
+        out, first = list(passage), rng.randrange(5, 12)
+        for i in range(first, 60, 12):
+            out[i] = f"x{rng.random()}"
+        return out
+
+    texts = [around(spoilt()) for _ in range(60)] + [around(passage), around(passage)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in repeated_passages(docs).where("doc_id >= 60").collect()]
+    assert got == [(61, 60, 120, 60)]
