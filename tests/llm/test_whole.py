@@ -64,3 +64,24 @@ def test_passages_behind_false_leaders(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [tuple(r) for r in repeated_passages(docs).where("doc_id >= 60").collect()]
     assert got == [(61, 60, 120, 60)]
+
+
+def test_passages_at_other_offsets():
+    """Passages next to one another in b that are swapped, apart or behind a repeated line in a."""
+    import numpy as np
+
+    from logloom.llm.substring_dedup import passages_of
+
+    def found(a, b):
+        words = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
+        five = lambda t: np.array([hash(tuple(words[w] for w in t[i : i + 5])) for i in range(len(t) - 4)], np.int64)
+        x, y = five(a), five(b)
+        return sorted(passages_of(x, y, [(i, 0, len(x) - 1, 0, len(y) - 1) for i in range(2)], 50))
+
+    one, two, long = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 50), ("q", 50), ("r", 150)))
+    gap = [f"g{i}" for i in range(100)]
+    assert found(two + gap + one, one + two) == [(0, 50, 150, 200), (50, 100, 0, 50)]
+    assert found(one + gap + two, one + two) == [(0, 50, 0, 50), (50, 100, 150, 200)]
+    assert found(long + gap + one, one + long) == [(0, 50, 250, 300), (50, 200, 0, 150)]
+    assert found(one[:10] + gap + one + gap + two, one + two) == [(0, 50, 110, 160), (50, 100, 260, 310)]
+    assert found(one, one) == [(0, 50, 0, 50)]
