@@ -39,20 +39,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, comp): comp is the least node of the component.
 
     First, tasks of at most PART edges each find their own trees; where there is
     only one such part, that is the result.
     Each half step is an aggregate with map-side minimum and a join on nodes; no
     neighbourhood is gathered into one row, and nothing but a checksum is collected.
+    The steps go on until the checksum stands still, however many that takes.
     """
     ship(edges.sparkSession)
     e = cut(edges.where("a <> b").select("a", "b"))
     parts = max(1, -(-e.count() // PART))
     e = cut(e.coalesce(parts).mapInArrow(_forest, e.schema))
     seen = None
-    for _ in range(rounds if parts > 1 else 0):
+    while parts > 1:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .._ship import ship
 
@@ -62,6 +63,36 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of the input has it, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+MANY = 10_000  # colliding texts that an expression may name
+
+
+def text_ids(docs: DataFrame) -> Column:
+    """A 64-bit number of each text, another one for every other MD5 digest.
+
+    Digests whose hashes meet are found by one aggregate and hashed once more; of n
+    texts about n * n / 2**65 are among them, 68 of 5 * 10**10.
+    """
+    digest = F.md5(F.col("text").cast("binary"))
+    out, k = F.xxhash64(digest, F.length("text")), 0
+    while True:
+        seen = docs.where("text IS NOT NULL").select(out.alias("id"), digest.alias("d"))
+        met = seen.groupBy("id").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x <> y").limit(MANY).collect()
+        if not met:
+            return out
+        if len(met) == MANY:
+            raise ValueError("too many texts with equal hashes")
+        k += 1
+        out = F.when(digest.isin([r["y"] for r in met]), F.xxhash64(digest, F.length("text"), F.lit(k))).otherwise(out)
+
+
 def partitions(spark: SparkSession) -> int:
     """Buckets follow the session's shuffle partitions, which follow the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -15,10 +15,13 @@ others and classes are joined.  While a group holds more than one class, the
 classes' first texts meet the first of them, and texts of different classes meet
 where their signatures lie side by side, until no round finds a link.  These
 rounds only make classes large early.  At the end, every pair of different
-classes that shares a band and is untested meets in a cell (texts of a band and
-of like weight, salted into blocks): it is verified, unless the texts' weights or
-their shingle counts over SKETCH buckets show that the similarity is too low.
-Both are upper bounds, so no link is lost.
+classes that shares a band meets in a cell (texts of a band and of like weight,
+salted into blocks), in the first band that both share.  There the texts' bags
+themselves are compared, each copy of a shingle an element of 32 bits: equal
+elements count as shared, so the count is an upper bound, and it is exact but for
+equal hashes.  A cell joins what it finds into trees and gives their edges only,
+so its output is no larger than its texts; if verification ever refuses such an
+edge, the cells are read once more and give every pair.  No link is lost.
 Exact copies are one text from the start.  Verification compares the multisets
 themselves: sum of minima over sum of maxima, 0.8 or more.
 
@@ -39,14 +42,14 @@ from pyspark.sql import functions as F
 
 from .._ship import ship
 from ._graph import components
-from ._spark import cut, free_shuffles, stash, table
+from ._spark import cut, free_shuffles, stash, table, unused
 from ._text import LOWER, U, column, flat, mix, owner, shingles, slices, word_hashes, words
 
 REGISTERS, ROWS = 48, 3
 SIMILAR = 0.8
 ORDER = ("band", "n1", "n2", "n3")
-SKETCH = 128  # buckets of a text's shingle counts, for the upper bound
-BLOCK = 256  # texts of a cell, about
+BLOCK = 256  # texts of a block, about; a cell has two blocks at most
+COLUMNS = 8192  # elements of a cell that are compared at once
 SHINGLE = 5
 _K = np.array([0x8CB92BA72F3D8DD7, 0xABE1D3F9B5C6D2E5, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)
 
@@ -125,14 +128,16 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def sketches(g: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each text's shingle counts, added up in SKETCH buckets of hashes.
+def elements(g: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits for every copy of a shingle, rising in each text, and n + 1 offsets.
 
-    Two texts share at most the sum of their buckets' minima.
+    Two texts share as many elements as the sum of their shingle counts' minima, or more if hashes meet.
     """
-    n = len(offsets) - 1
-    at = owner(offsets) * SKETCH + (mix(g) >> U(32)).astype(np.int64) % SKETCH
-    return np.bincount(at, counts, n * SKETCH).astype("<u4").reshape(n, SKETCH)
+    which = np.repeat(np.arange(len(g)), counts)
+    copy = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    e = (mix(g[which] + copy.astype(U) * _K[1]) >> U(32)).astype("<u4")
+    own = np.repeat(owner(offsets), counts)
+    return e[np.lexsort((e, own))], np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(offsets) - 1))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +147,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(np.diff(offsets))
         keys = keys[some]
         lists = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
-        sketch = sketches(g, counts, offsets)[some]
-        kept = pa.array([row.tobytes() for row in sketch], pa.binary())
-        yield pa.RecordBatch.from_arrays([column(batch, "node").take(pa.array(some)), column(batch, "doc_id").take(pa.array(some)), lists, kept], names=["node", "doc_id", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([column(batch, "node").take(pa.array(some)), column(batch, "doc_id").take(pa.array(some)), lists], names=["node", "doc_id", "keys"])
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        e, at = elements(*bags(*flat(column(batch, "text"))))
+        data = [e[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(np.diff(at), pa.int64()), pa.array(data, pa.binary())], names=["node", "weight", "bag"])
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -193,7 +203,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     seen = docs.where("text IS NOT NULL AND text <> ''").select("doc_id", "text", node_of(F.col("text")).alias("node"))
-    signed = stash(seen.mapInArrow(_sign, "node binary, doc_id long, keys array<long>, sketch binary"))
+    signed = stash(seen.mapInArrow(_sign, "node binary, doc_id long, keys array<long>"))
     one = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     # each band's row carries the next bands' keys, which put like texts side by side
     n = REGISTERS // ROWS
@@ -207,27 +217,28 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     head = F.struct(F.col("least").isNull().alias("o"), "least", "node")
     first = members.groupBy("band").agg(F.min(head).alias("h")).select("band", F.col("h.node").alias("a"))
     pairs = members.select("band", F.col("node").alias("b")).join(first, "band").where("a <> b").select("a", "b").distinct()
-    comp, edges, tested, last = None, None, None, False
+    comp, edges, tested, closing = None, None, None, 0
     while True:
-        if tested is not None:
+        if tested is not None and closing != 1:  # a tree's edges count only if all of them hold
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         done = stash(verify(pairs, texts))
         good = done.where(F.col("j") >= similar).select("a", "b")
         tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
-        found = bool(good.limit(1).count())
-        if found:
+        n, linked = done.agg(F.count("*"), F.count_if(F.col("j") >= similar)).first()
+        if linked:
             edges = good if edges is None else edges.unionByName(good)
             comp = cut(components(edges))
             free_shuffles(spark)
-        if last:
+        if closing == 2 or (closing == 1 and n == linked):
             break
         # bands that still hold several classes
         m = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         some = m.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
         m = stash(m.join(some, "band"))
-        if not found:  # the rounds end: all that is left is tested at once
-            pairs, last = stash(_cells(m, signed, similar)), True
+        if closing or not linked:  # the rounds end: all that is left is compared at once
+            closing += 1
+            pairs = stash(_cells(m, one.select("node", "keys"), texts, similar, trees=closing == 1))
             continue
         # their heads meet the first of them, and texts of different classes meet where
         # their signatures lie side by side
@@ -242,67 +253,101 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return comp
 
 
-def _cells(m: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
-    """Distinct pairs (a, b) of different classes that share a band and that no upper bound excludes.
+def _cells(m: DataFrame, keys: DataFrame, texts: DataFrame, similar: float, trees: bool = True) -> DataFrame:
+    """Pairs (a, b) of different classes that share a band and may be similar; with ``trees``, enough of them to join the rest.
 
     Weights of similar texts lie in one class of weights or in two next to one another:
-    a text is at home in its own class and visits the class below.
+    a text is at home in its own class and visits the class below if that may hold texts like it.
     """
     some = m.select("node").distinct()
-    sketch = signed.select("node", "sketch").join(some, "node").groupBy("node").agg(F.first("sketch").alias("sketch")).mapInArrow(_weigh, "node binary, sketch binary, weight long")
-    base = float(np.log(1.001 / similar))
-    rows = m.select("band", "node", "comp").join(stash(sketch), "node")
+    bag = texts.join(some, "node").mapInArrow(_bags, "node binary, weight long, bag binary")
+    bag = stash(bag.join(keys.join(some, "node"), "node"))
+    base = 3 * float(np.log(1 / similar)) + 1e-6
+    rows = m.select("band", "node", "comp").join(bag, "node")
     own = F.floor(F.log("weight") / F.lit(base)).cast("int")
-    rows = rows.withColumn("own", own).withColumn("q", F.explode(F.array("own", F.col("own") - 1)))
+    below = F.col("weight") * F.lit(similar - 1e-6) < F.exp(F.col("own") * F.lit(base))
+    rows = rows.withColumn("own", own).withColumn("q", F.explode(F.when(below, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
     rows = rows.withColumn("home", F.col("own") == F.col("q")).drop("own")
     size = rows.groupBy("band", "q").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("home").alias("any"))
     size = size.where("x <> y AND any").select("band", "q", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(size, ["band", "q"]).withColumn("salt", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("band", "q", F.least("salt", "other"), F.greatest("salt", "other"))
-    rows = rows.select(cell.alias("cell"), "band", "q", F.least("salt", "other").alias("s"), F.greatest("salt", "other").alias("t"), "salt", "home", "node", "comp", "weight", "sketch")
-    laid = rows.repartition(F.col("cell")).sortWithinPartitions("cell", "band", "q", "s", "t")
-    return laid.mapInArrow(_meet(similar), "a binary, b binary").distinct()
-
+    place = ["cell", "band", "q", "s", "t"]
+    rows = rows.withColumn("s", F.least("salt", "other")).withColumn("t", F.greatest("salt", "other")).withColumn("cell", F.xxhash64("band", "q", "s", "t"))
+    laid = rows.select(*place, "salt", "home", "node", "comp", "weight", "keys", "bag").repartition(F.col("cell")).sortWithinPartitions(*place)
+    return laid.mapInArrow(_meet(similar, trees), "a binary, b binary").distinct()
+
+
+def shared_elements(bags_: list[np.ndarray]) -> np.ndarray:
+    """n x n numbers of shared elements, by products of their incidence matrix, COLUMNS of it at once."""
+    n = len(bags_)
+    flat_ = np.concatenate(bags_)
+    own = np.repeat(np.arange(n), [len(x) for x in bags_])
+    _, at, times = np.unique(flat_, return_inverse=True, return_counts=True)
+    several = times > 1
+    place = np.cumsum(several) - 1
+    keep = several[at]
+    col, row = place[at[keep]], own[keep]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    out = np.zeros((n, n), np.float32)
+    for low in range(0, int(several.sum()), COLUMNS):
+        i, j = np.searchsorted(col, [low, low + COLUMNS])
+        x = np.zeros((n, min(COLUMNS, int(several.sum()) - low)), np.float32)
+        np.add.at(x, (row[i:j], col[i:j] - low), 1)
+        out += x @ x.T
+    return out
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sketch = column(batch, "sketch")
-        weight = [int(np.frombuffer(x, "<u4").sum(dtype=np.int64)) for x in sketch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([column(batch, "node"), sketch, pa.array(weight, pa.int64())], names=["node", "sketch", "weight"])
 
+def _meet(similar: float, trees: bool):
+    def cell(part: pa.RecordBatch) -> list[tuple[bytes, bytes]]:
+        comp, node = column(part, "comp").to_pylist(), column(part, "node").to_pylist()
+        if len(set(comp)) < 2:
+            return []
+        salt, home, w = (column(part, c).to_numpy(zero_copy_only=False) for c in ("salt", "home", "weight"))
+        own, band, within = column(part, "s")[0].as_py() == column(part, "t")[0].as_py(), column(part, "band")[0].as_py(), np.array([hash(c) for c in comp])
+        both = shared_elements([np.frombuffer(x, "<u4") for x in column(part, "bag").to_pylist()])
+        both = both.astype(np.float64)
+        may = both / np.maximum(w[:, None] + w[None, :] - both, 1) >= similar
+        may &= home[:, None] | home[None, :]  # two visitors meet in the class above
+        if not own:  # a pair of one salt belongs to that salt's own cell
+            may &= salt[:, None] != salt[None, :]
+        i, j = np.nonzero(np.triu(may, 1))
+        if not len(i):
+            return []
+        differ = (within[i] != within[j]) | np.array([comp[x] != comp[y] for x, y in zip(i, j, strict=True)])
+        keys = np.array(column(part, "keys").to_pylist(), np.int64)
+        same = keys[i] == keys[j]
+        differ &= keys[i, same.argmax(1)] == band  # the first band that both share
+        up: dict = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for x, y in zip(i[differ], j[differ], strict=True):
+            if trees:
+                a, b = root(comp[x]), root(comp[y])
+                if a == b:
+                    continue
+                up[a] = b
+            out.append((min(node[x], node[y]), max(node[x], node[y])))
+        return out
 
-def _meet(similar: float):
     def met(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = whole.num_rows
-        x = {c: column(whole, c).to_numpy(zero_copy_only=False) for c in ("band", "q", "s", "t", "salt", "home", "weight")}
-        new = np.zeros(n, bool)
-        for c in ("band", "q", "s", "t"):
-            new[1:] |= x[c][1:] != x[c][:-1]
-        group = np.cumsum(new)
-        comp = np.unique(np.array(column(whole, "comp").to_pylist(), object), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(column(whole, "sketch").to_pylist()), "<u4").reshape(n, SKETCH)
-        node, w = column(whole, "node"), x["weight"]
-        i, d = np.arange(n), 0
-        while True:
-            d += 1
-            i = i[i + d < n]
-            i = i[group[i] == group[i + d]]
-            if not len(i):
-                break
-            j = i + d
-            # a pair of one salt belongs to that salt's own cell, and two visitors to the class above
-            ok = (comp[i] != comp[j]) & (x["home"][i] | x["home"][j]) & ((x["salt"][i] != x["salt"][j]) | (x["s"][i] == x["t"][i]))
-            ok &= np.minimum(w[i], w[j]) >= (similar - 1e-9) * np.maximum(w[i], w[j])
-            a = i[ok]
-            for k in range(0, len(a), 8192):
-                y, z = a[k : k + 8192], a[k : k + 8192] + d
-                both = np.minimum(sketch[y], sketch[z]).sum(1, dtype=np.int64)
-                may = both >= (similar - 1e-9) * (w[y] + w[z] - both)
-                p, q = node.take(pa.array(y[may])).to_pylist(), node.take(pa.array(z[may])).to_pylist()
-                if p:
-                    low, high = [min(u) for u in zip(p, q, strict=True)], [max(u) for u in zip(p, q, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["a", "b"])
+        new = np.ones(whole.num_rows, bool)
+        new[1:] = False
+        for c in ("cell", "band", "q", "s", "t"):
+            x = column(whole, c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        edge = np.append(np.flatnonzero(new), whole.num_rows)
+        found = [p for i, j in zip(edge[:-1], edge[1:], strict=True) if j - i > 1 for p in cell(whole.slice(i, j - i))]
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -310,8 +355,8 @@ def _meet(similar: float):
             if not batch.num_rows:
                 continue
             whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            cell = column(whole, "cell").to_numpy()
-            at = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            cells = column(whole, "cell").to_numpy()
+            at = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on in the next batch
             if at:
                 yield from met(whole.slice(0, at))
             rest = whole.slice(at)
@@ -347,15 +392,18 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The input's rows, one of each class: that of the least doc_id, once."""
+    """The input's rows, one of each class: that of the least doc_id, once.
+
+    Columns of any name are kept; of rows that repeat a doc_id and a text, one stays.
+    """
     comp = classes(docs, similar)
-    tagged = docs.withColumn("__node", F.when(F.length("text") > 0, node_of(F.col("text"))))
-    slim = tagged.where("__node IS NOT NULL").select("doc_id", F.col("__node").alias("node")).join(comp, "node", "left")
-    head = slim.groupBy(F.coalesce("comp", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "node")).alias("h"))
-    head = head.select(F.col("h.node").alias("__node"), F.col("h.doc_id").alias("__id"))
-    kept = tagged.join(head, "__node").where(F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    kept = kept.dropDuplicates(["__node"])
-    return kept.unionByName(tagged.where("__node IS NULL")).select(docs.columns)
+    row = unused(docs, "row")
+    tagged = docs.select(F.struct(*docs.columns).alias(row), "doc_id", F.when(F.length("text") > 0, node_of(F.col("text"))).alias("node"))
+    slim = tagged.where("node IS NOT NULL").select("doc_id", "node").join(comp, "node", "left")
+    first = slim.groupBy(F.coalesce("comp", "node").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "node")).alias("h"))
+    first = first.select(F.col("h.node").alias("node"), F.col("h.doc_id").alias("id"))
+    kept = tagged.join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["node"]).select(row)
+    return kept.unionByName(tagged.where("node IS NULL").select(row)).select(f"{row}.*")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,14 +34,28 @@ def test_cells_hold_every_similar_pair(spark, monkeypatch):
         base = [f"v{rng.randrange(400)}" for _ in range(rng.randrange(60, 200))]
         texts += [" ".join(base[: len(base) - cut]) for cut in range(0, 30, 3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    seen = docs.withColumn("node", nd.node_of(docs.text))
-    signed = seen.mapInArrow(nd._sign, "node binary, doc_id long, keys array<long>, sketch binary")
+    seen = docs.select(nd.node_of(docs.text).alias("node"), "text").distinct()
     m = seen.selectExpr("1L AS band", "node", "node AS comp")
-    got = {(bytes(r.a), bytes(r.b)) for r in nd._cells(m, signed, 0.8).collect()}
-    pairs = seen.select("node", "text").withColumnsRenamed({"node": "a", "text": "ta"}).crossJoin(seen.select("node", "text").withColumnsRenamed({"node": "b", "text": "tb"})).where("a < b")
+    keys = seen.selectExpr("node", "array(1L, 2L) AS keys")
+    got = {(bytes(r.a), bytes(r.b)) for r in nd._cells(m, keys, seen, 0.8, trees=False).collect()}
+    pairs = seen.withColumnsRenamed({"node": "a", "text": "ta"}).crossJoin(seen.withColumnsRenamed({"node": "b", "text": "tb"})).where("a < b")
     want = {(bytes(r.a), bytes(r.b)) for r in pairs.mapInArrow(nd._verify, "a binary, b binary, j double").where("j >= 0.8").collect()}
-    assert want and want <= got
-    assert len(got) < len(texts) * (len(texts) - 1) // 2
+    assert want and want == got
+    trees = {(bytes(r.a), bytes(r.b)) for r in nd._cells(m, keys, seen, 0.8).collect()}
+    assert trees <= want and len(trees) < len(want)
+    part = lambda edges: {frozenset(c) for c in _components(edges)}
+    assert part(trees) == part(want)
+    later = seen.selectExpr("2L AS band", "node", "node AS comp")
+    assert nd._cells(later, keys, seen, 0.8).count() == 0
+
+
+def _components(edges):
+    out = {}
+    for a, b in edges:
+        both = out.get(a, {a}) | out.get(b, {b})
+        for x in both:
+            out[x] = both
+    return out.values()
 
 
 def test_passages_behind_false_leaders(spark):
