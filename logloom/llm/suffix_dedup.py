@@ -25,13 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ._spark import discard, free_shuffles, partitions, stash, table
+from ._spark import discard, free_shuffles, partitions, stash, table, text_ids
 from ._text import BYTE, STEP, U, column, flat, mix, slices
-from .substring_dedup import nid_of
 from .windows import run_minima
 
 LENGTH = 400
@@ -269,11 +268,10 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, ids: Column) -> DataFrame:
     """(nid, spans): of each distinct text, the byte ranges that repeated strings cover, not merged."""
     spark = docs.sparkSession
-    ship(spark)
-    seen = docs.where(f"octet_length(text) >= {LENGTH}").select("text", nid_of(F.col("text")).alias("nid"))
+    seen = docs.where(f"octet_length(text) >= {LENGTH}").select("text", ids.alias("nid"))
     found = stash(seen.mapInArrow(_anchors, "key long, ctx long, nid long, pos int, size int"))
     place = F.struct("nid", "pos")
     twice = found.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("key")
@@ -327,8 +325,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    spans = covered(docs)
-    tagged = docs.select("doc_id", "text", F.when(F.octet_length("text") >= LENGTH, nid_of(F.col("text"))).alias("nid"))
+    ship(docs.sparkSession)
+    ids = text_ids(docs)
+    spans = covered(docs, ids)
+    tagged = docs.select("doc_id", "text", F.when(F.octet_length("text") >= LENGTH, ids).alias("nid"))
     copies = tagged.where("nid IS NOT NULL").groupBy("nid").count().where("count > 1").select("nid", F.lit(True).alias("many"))
     per = spans.join(copies, "nid", "full")
     met = tagged.join(per, "nid", "left").select("doc_id", "text", F.coalesce("many", F.lit(False)).alias("many"), "spans")
