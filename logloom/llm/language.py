@@ -3,9 +3,10 @@
 States are the languages of the labelled rows.  A word's emission score sums the
 weights of its hashed features: the word itself (lexicon), prefixes and suffixes
 of one to three characters, and character bigrams and trigrams.  Transitions are
-learned with them.  Training fits a bounded sample of labelled rows, made of
-runs of words from one or two languages so that switches are seen; prediction
-runs forward-backward over every word of every text.
+learned with them.  Training fits a bounded sample of labelled rows (SAMPLE a
+language, whole texts, chosen by a hash) in one task, by RUNS runs of words from
+one or two languages so that switches are seen; the driver gets the model only.
+Prediction runs forward-backward over every word of every text.
 
 Long texts are no sequential loop: the chain is cut into blocks of equal length,
 each block's transfer matrix is worked out for all blocks at once, the block ends
@@ -19,24 +20,26 @@ go to the language that comes first by code point; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .._ship import ship
-from ._spark import table
+from ._spark import cut, table
 from ._text import column, slices
 
 DIM = 1 << 18
 SAMPLE = 1500  # labelled texts per language that training may read
-SAMPLE_WORDS = 1200  # words taken from random places of a sampled text for training
+RUNS = 6000  # runs of words that an epoch of training takes at the most
+FEW_LANGUAGES = 100_000  # rows of the table of languages that may be broadcast
 BLOCK = 64
 NO_LANGUAGE = "und"
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 def fold(doc_id: Column, parts: int = 5) -> Column:
@@ -44,6 +47,14 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+@lru_cache(1)
+def word_expr() -> re.Pattern[str]:
+    """Runs of letters, with apostrophes inside; numbers of any kind, such as superscripts, are no letters."""
+    odd = [i for i in range(sys.maxunicode + 1) if chr(i).isalnum() and not chr(i).isalpha() and not chr(i).isdecimal()]
+    letter = rf"[^\W\d_{''.join(map(chr, odd))}]"
+    return re.compile(rf"{letter}+(?:['’]{letter}+)*")
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
     x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
@@ -172,32 +183,33 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return p / p.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3, length: int = 32, seed: int = 7) -> Model:
+def code(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], dict[str, np.ndarray]]:
+    """The words of labelled texts, and each language's texts as the words' numbers."""
+    number: dict[str, int] = {}
+    found: dict[str, list[np.ndarray]] = {}
+    split = word_expr().findall
+    for batch in slices(batches):
+        for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
+            some = split(text.lower())
+            found.setdefault(lang, []).append(np.fromiter((number.setdefault(w, len(number)) for w in some), np.int32, len(some)))
+    return list(number), {lang: np.concatenate(x) for lang, x in found.items()}
+
+
+def fit(words: list[str], texts: dict[str, np.ndarray], epochs: int = 3, rate: float = 0.3, length: int = 32, seed: int = 7) -> Model:
     """AdaGrad on the conditional log-likelihood of runs of ``length`` words.
 
     A third of the runs join two texts' words, so that transitions see switches.
     """
     rng = np.random.default_rng(seed)
-    languages = sorted(set(langs))
-    pools = []
-    for lang in languages:
-        pool: list[str] = []
-        for text, of in zip(texts, langs, strict=True):
-            if of == lang:
-                ws = [w.lower() for w in WORD.findall(text)]
-                at = int(rng.integers(0, max(1, len(ws) - SAMPLE_WORDS)))
-                pool += ws[at : at + SAMPLE_WORDS]
-        pools.append(pool)
-    ok = [i for i, p in enumerate(pools) if p]
+    languages = sorted(texts)
+    coded = [texts[x] for x in languages]
+    ok = [i for i, c in enumerate(coded) if len(c)]
     k = len(languages)
     if not ok:
         return Model(languages, np.zeros((DIM, k), np.float32), np.zeros((k, k)))
-    vocab = {w: i for i, w in enumerate(sorted(set().union(*pools)))}
-    ids, at = features(list(vocab))
-    coded = [np.array([vocab[w] for w in p], np.int64) for p in pools]
     w, g = np.zeros((DIM, k)), np.full((DIM, k), 1e-3)
     t, gt = np.zeros((k, k)), np.full((k, k), 1e-3)
-    runs = min(6000, max(len(c) for c in coded) * len(ok) // length + 1)
+    runs = min(RUNS, max(len(c) for c in coded) * len(ok) // length + 1)
     for _ in range(epochs):
         for _ in range(0, runs, 256):
             lang = rng.choice(ok, 256)
@@ -214,8 +226,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3,
                         s = int(rng.integers(0, max(1, len(coded[i]) - n)))
                         x[r, here[r]] = np.resize(coded[i][s : s + n], n)
             seen, back = np.unique(x, return_inverse=True)
-            own = np.repeat(np.arange(len(seen)), at[seen + 1] - at[seen])
-            f = ids[np.concatenate([np.arange(at[v], at[v + 1]) for v in seen])]
+            f, at = features([words[v] for v in seen.tolist()])
+            own = np.repeat(np.arange(len(seen)), np.diff(at))
             em = np.zeros((len(seen), k))
             np.add.at(em, own, w[f])
             scores = em[back.reshape(x.shape)]
@@ -252,37 +264,44 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3,
     return Model(languages, w.astype(np.float32), t)
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    m = fit(*code(batches))
+    cols = [pa.array([m.languages], pa.list_(pa.string())), pa.array([m.weights.astype("<f4").tobytes()], pa.binary()), pa.array([m.transitions.astype("<f8").tobytes()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(cols, names=["languages", "weights", "transitions"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled rows a language, chosen by a hash of the text.
 
     ``docs`` holds the rows that may be learned from: columns text and lang.
     """
-    from pyspark.sql import Window
-
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    counts = {r[0]: r[1] for r in keyed.groupBy("lang").count().collect()}  # one row a language
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 1.5 * sample / n + 20 / n)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    spark = docs.sparkSession
+    ship(spark)
+    keyed = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("h"))
+    counts = cut(keyed.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language
+    n = counts.count()
+    # a share that leaves somewhat more than the sample, so that few rows are put in order
+    share = counts.select(F.col("lang").alias("of"), (F.least(F.lit(1.0), (1.5 * sample + 20) / F.col("n")) * (1 << 30)).cast("long").alias("upto"))
+    some = keyed.join(F.broadcast(share) if n <= FEW_LANGUAGES else share, F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1 << 30)) < F.col("upto"))
     w = Window.partitionBy("lang").orderBy("h", "text")
-    few = keyed.where(keep).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample)
-    # a bounded number of words goes to the driver, from the middle of long texts
-    got = few.select(F.expr(f"substring(text, greatest(1, int(length(text) / 2) - {4 * SAMPLE_WORDS}), {8 * SAMPLE_WORDS})").alias("text"), "lang", "h").orderBy("lang", "h", "text").collect()
-    return fit([r[0] for r in got], [r[1] for r in got])
+    few = some.select("text", "lang", "h", F.row_number().over(w).alias("r")).where(F.col("r") <= sample)
+    got = few.repartition(1).sortWithinPartitions("lang", "h", "text").mapInArrow(_fit, "languages array<string>, weights binary, transitions binary").collect()
+    if not got or not got[0]["languages"]:
+        return Model([], np.zeros((DIM, 0), np.float32), np.zeros((0, 0)))
+    k = len(got[0]["languages"])
+    return Model(list(got[0]["languages"]), np.frombuffer(got[0]["weights"], "<f4").reshape(DIM, k), np.frombuffer(got[0]["transitions"], "<f8").reshape(k, k))
 
 
 class Scorer:
     """Predicts the language of whole texts; keeps emissions of words it has met."""
 
     def __init__(self, model: Model, cache: int = 200_000):
-        self.model, self.most = model, cache
+        self.model, self.most, self.split = model, cache, word_expr().findall
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)), np.float32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        lists = [WORD.findall(t.lower()) for t in texts]
+        lists = [self.split(t.lower()) for t in texts]
         if len(self.index) > self.most:
             self.index, self.table = {}, self.table[:0]
         fresh = list(set().union(*lists).difference(self.index)) if lists else []
