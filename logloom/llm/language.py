@@ -40,6 +40,7 @@ RUNS = 6000  # runs of words that an epoch of training takes at the most
 FEW_LANGUAGES = 100_000  # rows of the table of languages that may be broadcast
 BLOCK = 64
 NO_LANGUAGE = "und"
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")  # and numbers without digits, which split_odd takes out
 
 
 def fold(doc_id: Column, parts: int = 5) -> Column:
@@ -48,13 +49,18 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
 
 
 @lru_cache(1)
-def word_expr() -> re.Pattern[str]:
-    """Runs of letters, with apostrophes inside; numbers of any kind, such as superscripts, are no letters."""
+def _letters() -> re.Pattern[str]:
     odd = [i for i in range(sys.maxunicode + 1) if chr(i).isalnum() and not chr(i).isalpha() and not chr(i).isdecimal()]
     letter = rf"[^\W\d_{''.join(map(chr, odd))}]"
     return re.compile(rf"{letter}+(?:['’]{letter}+)*")
 
 
+def split_odd(found: set[str]) -> dict[str, list[str]]:
+    """Those of the words that hold numbers without digits, such as superscripts, with what is left of them: runs of letters."""
+    parts = {w: _letters().findall(w) for w in found if not w.isascii()}
+    return {w: p for w, p in parts.items() if p != [w]}
+
+
 def _mix32(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
     x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
@@ -187,10 +193,11 @@ def code(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], dict[str, np.nda
     """The words of labelled texts, and each language's texts as the words' numbers."""
     number: dict[str, int] = {}
     found: dict[str, list[np.ndarray]] = {}
-    split = word_expr().findall
     for batch in slices(batches):
         for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
-            some = split(text.lower())
+            some = WORD.findall(text.lower())
+            if odd := split_odd(set(some)):
+                some = [p for w in some for p in odd.get(w, (w,))]
             found.setdefault(lang, []).append(np.fromiter((number.setdefault(w, len(number)) for w in some), np.int32, len(some)))
     return list(number), {lang: np.concatenate(x) for lang, x in found.items()}
 
@@ -296,16 +303,19 @@ class Scorer:
     """Predicts the language of whole texts; keeps emissions of words it has met."""
 
     def __init__(self, model: Model, cache: int = 200_000):
-        self.model, self.most, self.split = model, cache, word_expr().findall
+        self.model, self.most = model, cache
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)), np.float32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        lists = [self.split(t.lower()) for t in texts]
+        lists = [WORD.findall(t.lower()) for t in texts]
         if len(self.index) > self.most:
             self.index, self.table = {}, self.table[:0]
-        fresh = list(set().union(*lists).difference(self.index)) if lists else []
-        if fresh:
+        fresh = set().union(*lists).difference(self.index)
+        if odd := split_odd(fresh):
+            lists = [[p for w in x for p in odd.get(w, (w,))] for x in lists]
+            fresh = set().union(*lists).difference(self.index)
+        if fresh := list(fresh):
             n = len(self.index)
             self.index.update(zip(fresh, range(n, n + len(fresh)), strict=True))
             self.table = np.concatenate([self.table, self.model.emissions(fresh)])
