@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .._ship import ship
-from ._spark import stash, table
+from ._spark import stash, table, unused
 from ._text import LOWER, U, column, flat, slices, word_hashes, words
 
 BLOCK = 16  # words
@@ -43,7 +43,7 @@ ITEM_BYTES = 1 << 20
 RANK = 256
 EXTRA = 16
 CHUNK = 128  # terms whose part of the sketch is summed at once
-FAN, LEVELS = 64, 3  # enough for 262,144 partitions
+FAN = 64  # matrices of a chunk that a task adds up for each level
 COMMON = 0.002  # share of passages above which a term is common
 NEAR = 0.45  # cosine of a candidate
 LCS, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
@@ -276,11 +276,13 @@ def fit(docs: DataFrame, space: Space, rank: int = RANK) -> Space:
     width = min(d, rank + EXTRA)
     parts = docs.select("text").mapInArrow(_sketch(space, 11, width), "chunk long, part long, data binary")
     # a tree of sums: no task adds up more than FAN matrices of a chunk for each level
-    for _ in range(LEVELS):
+    left = docs.select("text").rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN)
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("chunk", "part").applyInPandas(_add, "chunk long, part long, data binary")
     y = np.zeros((d, width))
     for r in parts.collect():  # terms x width numbers, bounded by the block of items
-        y[r.chunk : r.chunk + CHUNK] = np.frombuffer(r["data"], np.float64).reshape(-1, width)
+        y[r.chunk : r.chunk + CHUNK] += np.frombuffer(r["data"], np.float64).reshape(-1, width)
     omega = np.random.default_rng(11).standard_normal((d, width))
     if not y.any():
         basis = np.eye(d, min(d, width))
@@ -322,10 +324,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> D
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The input's rows that hold no benchmark item; rows are told apart by id and text."""
-    tagged = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = contaminated(tagged.select(F.col("__row").alias("doc_id"), "text"), benchmark)
-    bad = stash(found.select(F.col("doc_id").alias("__row")).distinct())
-    return tagged.join(bad, "__row", "left_anti").select(docs.columns)
+    row = unused(docs, "row")
+    tagged = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = contaminated(tagged.select(F.col(row).alias("doc_id"), "text"), benchmark)
+    bad = stash(found.select(F.col("doc_id").alias(row)).distinct())
+    return tagged.join(bad, row, "left_anti").select(docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

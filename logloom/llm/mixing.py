@@ -15,7 +15,8 @@ Defined results for odd input:
   which comes last; a null id hashes like the empty string;
 * rows whose keys tie (repeated rows) share what is left in proportion to size;
 * an empty table gives an empty result; a source of size 0 has target 0;
-* columns named like an added column are replaced by it.
+* columns named like one of the four added ones (ADDED), whatever the case, are
+  replaced by it; columns of any other name stay as they are.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 NOT_LETTER = r"[^\p{L}\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BINS = 4096
+ADDED = ("size", "source_size", "target", "taken")
 SMALL_SOURCES = 100_000  # rows of the per-source table that may be broadcast
 
 
@@ -147,18 +149,19 @@ def mix(sized: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, keep: list[str]) -> DataFrame:
-    added = {"size", "key", "source_size", "target", "taken", "epochs", "cut_key", "share", "tied", "s2", "s3", "few"}
-    cols = [c for c in dict.fromkeys([*keep, "source"]) if c not in added]
-    return docs.select(*cols, size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), quality_of(F.col("text"))).alias("key"))
+    """source, size and key of each row, and the kept columns in one."""
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in ADDED]
+    row = [F.struct(*kept).alias("row")] if kept else []
+    return docs.select(*row, "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), quality_of(F.col("text"))).alias("key"))
 
 
 def mix_documents(docs: DataFrame, keep: list[str] | None = None, rate: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Mix of all documents: the kept columns, size, source_size, target and taken."""
     if keep is not None:
         slim = cut(sized(docs, keep))
-        return mix(slim, cutoffs(slim, rate, cap, weights)).drop("key")
-    ends = cutoffs(cut(sized(docs, ["source"])), rate, cap, weights)
-    return mix(sized(docs, docs.columns), ends).drop("key")
+        return mix(slim, cutoffs(slim, rate, cap, weights)).select("row.*", *ADDED)
+    ends = cutoffs(cut(sized(docs, [])), rate, cap, weights)
+    return mix(sized(docs, docs.columns), ends).select("row.*", *ADDED)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
