@@ -18,6 +18,7 @@ from .operators import framing, store
 from .operators.review import Review
 from .plans.definitions import HERE, load_mapping, load_parsers
 from .plans.pipeline import latin1, parse_event, process_events, provenance
+from .streaming.syslog import unemitted
 
 
 @dataclass
@@ -66,6 +67,7 @@ class Engine:
 
     def ingest(self, folder: str, include: tuple[str, ...] = (), receipt_ns: int | None = None) -> int:
         """Frames, stores and normalises the files of a folder; the number of events."""
+        self.recover()
         files = framing.read_files(self.spark, folder, include)
         framed = framing.frame(files.select("source", latin1(F.col("content")).alias("text")))
         first = 0
@@ -76,14 +78,27 @@ class Engine:
         rows = rows.select("raw_id", "source", F.lit(now).alias("receipt_ns"), F.encode("event", "ISO-8859-1").alias("bytes"))
         rows = rows.withColumn("sha256", store.digest(F.col("bytes")))
         rows.sortWithinPartitions("raw_id").write.mode("append").parquet(f"{self.root}/raw")
-        added = self.raw().where(F.col("raw_id") >= first)
-        head = store.genesis(self.root) if not first else bytes(self.spark.read.parquet(f"{self.root}/chain").where(F.col("raw_id") == first - 1).first()["chain"])
-        links = store.chain(added, head)
-        if links is None:
-            return 0
-        links.select("raw_id", "chain").write.mode("append").parquet(f"{self.root}/chain")
-        self._normalize(added).write.mode("append").parquet(f"{self.root}/normalized/version=1")
-        return added.count()
+        self.recover()
+        return self.raw().where(F.col("raw_id") >= first).count()
+
+    def recover(self) -> None:
+        """Chains and normalises what is stored and lacks it: the end of an ingest, or what one that broke off left.
+
+        New events go to the version that readers see.
+        """
+        if not (Path(self.root) / "raw").exists():
+            return
+        raw, last, head = self.raw(), None, store.genesis(self.root)
+        if (Path(self.root) / "chain").exists():
+            last = self.spark.read.parquet(f"{self.root}/chain").orderBy(F.desc("raw_id")).first()
+        if last is not None:
+            head = bytes(last["chain"])
+        links = store.chain(raw if last is None else raw.where(F.col("raw_id") > last["raw_id"]), head)
+        if links is not None:
+            links.select("raw_id", "chain").write.mode("append").parquet(f"{self.root}/chain")
+        version = max(self.versions(), default=1)
+        missing = unemitted(raw, self.events(version)) if self.versions() else raw
+        self._normalize(missing).write.mode("append").parquet(f"{self.root}/normalized/version={version}")
 
     def _normalize(self, raw: DataFrame) -> DataFrame:
         return process_events(raw, self.parsers, self.mapping, self.offset)

@@ -181,7 +181,7 @@ def ascii_lower(text: str) -> str:
 def _check(m: Mapping) -> None:
     seen: dict[str, str] = {}
     for path, names in m.fields.items():
-        if path.split(".")[0] in ("unmapped", "ulpf", "pipeline"):
+        if path.split(".")[0] in ("unmapped", "pipeline"):
             raise Invalid(f"reserved path {path}")
         for a in names:
             if a in seen:

@@ -107,6 +107,14 @@ def parse_event(p: Parser | None, text: str, receipt_ns: int, offset: int = 0) -
     return {"parse_status": status, "sub_status": sub, "fields": fields, "time": t, "time_text": text_}
 
 
+def spread(raw: DataFrame) -> DataFrame:
+    """Events of few and large splits are dealt out, so that all cores parse."""
+    cores = raw.sparkSession.sparkContext.defaultParallelism
+    if raw.isStreaming or raw.rdd.getNumPartitions() >= cores:
+        return raw
+    return raw.repartition(2 * cores)
+
+
 def parse_events(raw: DataFrame, parsers: list[Parser], offset: int = 0, only: list[str] | None = None) -> DataFrame:
     """raw (raw_id, source, receipt_ns, bytes) -> parsed rows; ``only`` keeps some parsers' events.
 
@@ -116,7 +124,7 @@ def parse_events(raw: DataFrame, parsers: list[Parser], offset: int = 0, only: l
     ship(raw.sparkSession)
     by_name = {p.name: p for p in parsers}
     text = latin1(F.col("bytes"))
-    found = raw.select("raw_id", "source", "receipt_ns", text.alias("text")).withColumn("parser", detect(F.col("text"), parsers))
+    found = spread(raw).select("raw_id", "source", "receipt_ns", text.alias("text")).withColumn("parser", detect(F.col("text"), parsers))
     if only is not None:
         found = found.where(F.col("parser").isin(only))
 
@@ -326,7 +334,7 @@ def process_events(raw: DataFrame, parsers: list[Parser], m: Mapping, offset: in
     products = {p.name: (p.vendor, p.product) for p in parsers}
     schema = _arrow(NORMALIZED)
     text = latin1(F.col("bytes"))
-    found = raw.select("raw_id", "source", "receipt_ns", text.alias("text")).withColumn("parser", detect(F.col("text"), parsers))
+    found = spread(raw).select("raw_id", "source", "receipt_ns", text.alias("text")).withColumn("parser", detect(F.col("text"), parsers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

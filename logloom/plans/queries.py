@@ -73,7 +73,7 @@ def dense_ids(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, sha256(text) AS h FROM documents WHERE doc_id < 100000000),
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, sha256(text) AS h FROM documents),
 c(n, doc_id, link) AS (
   SELECT 0::BIGINT, (-1)::BIGINT, sha256('logloom chain genesis' || 'store') UNION ALL
   SELECT d.n, d.doc_id, sha256(unhex(c.link) || unhex(d.h)) FROM c JOIN d ON d.n = c.n + 1)
@@ -323,9 +323,9 @@ def diff_summary(spark, sf_dir):
 # -- export, tail, drift ----------------------------------------------------------------------
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id BETWEEN 10 AND 100000 AND contains(lower(text), 'the') AND contains(lower(text), 'licensed')")
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'licensed')")
 def export_filter(spark, sf_dir):
-    return an.export(table(spark, sf_dir, "documents"), 10, 100000, ["The", "LICENSED"], "text", "doc_id").select("doc_id", "source")
+    return an.export(table(spark, sf_dir, "documents"), -(2**63), 2**63 - 1, ["The", "LICENSED"], "text", "doc_id").select("doc_id", "source")
 
 
 @query("SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 100")
