@@ -33,6 +33,9 @@ def tokenize(line: str) -> list[tuple[str, str]]:
 
 def lcs(a: list, b: list) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence, the earliest choices first."""
+    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if k:
+        return [(i, i) for i in range(k)] + [(i + k, j + k) for i, j in lcs(a[k:], b[k:])]
     n, m = len(a), len(b)
     t = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -50,33 +53,64 @@ def lcs(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
+def lcs_length(a: list, b: list) -> int:
+    """Length of a longest common subsequence; a row of the table is one integer's bits."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for y in b:
+        hit = row & at.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def shape(tokens: list[tuple[str, str]]) -> list[str]:
     """Words stand for themselves, values for their kind."""
     return [v if k in ("word", "punct") else k for k, v in tokens if k != "space"]
 
 
 def similarity(a: list[str], b: list[str]) -> float:
-    full = 2 * len(lcs(a[:64], b[:64])) / max(1, len(a[:64]) + len(b[:64]))
-    head = 2 * len(lcs(a[:6], b[:6])) / max(1, len(a[:6]) + len(b[:6]))
+    full = 2 * lcs_length(a, b) / max(1, len(a) + len(b))
+    head = 2 * lcs_length(a[:6], b[:6]) / max(1, len(a[:6]) + len(b[:6]))
     return max(full, head)
 
 
+def _merge(common: list[tuple], other: list[tuple[str, str]]) -> list[tuple]:
+    """What both share, with an open token wherever they differ."""
+    pairs = lcs([v if k in ("word", "punct", "space") else k for k, v in common], [v if k in ("word", "punct", "space") else k for k, v in other])
+    merged, i, j = [], 0, 0
+    for x, y in [*pairs, (len(common), len(other))]:
+        gap = common[i:x] + other[j:y]
+        if gap:
+            kinds = {k for k, _ in gap}
+            kind = gap[0][0] if len(kinds) == 1 and gap[0][0] not in ("space", "punct") and len(common[i:x]) == len(other[j:y]) == 1 else "text"
+            merged.append((kind, None))
+        if x < len(common):
+            merged.append(common[x] if common[x][1] == other[y][1] else (common[x][0], None))
+        i, j = x + 1, y + 1
+    return [t for n, t in enumerate(merged) if not (n and t == ("text", None) == merged[n - 1])]
+
+
 def template(lines: list[list[tuple[str, str]]]) -> list[tuple]:
-    """Constants all lines share, in order, with a typed slot wherever something differs."""
-    common = lines[0]
+    """Constants all lines share, in order, with a typed slot wherever something differs.
+
+    Every line is looked at; one that the pattern so far reads has nothing to add.
+    """
+    common: list[tuple] = lines[0]
+    reads = compile_pattern(pattern_of(_slots(common)), "full")[0]
     for other in lines[1:]:
-        pairs = lcs([v if k in ("word", "punct", "space") else k for k, v in common], [v if k in ("word", "punct", "space") else k for k, v in other])
-        merged, i, j = [], 0, 0
-        for x, y in [*pairs, (len(common), len(other))]:
-            gap = common[i:x] + other[j:y]
-            if gap:
-                kinds = {k for k, _ in gap}
-                kind = gap[0][0] if len(kinds) == 1 and gap[0][0] not in ("space", "punct") and len(common[i:x]) == len(other[j:y]) == 1 else "text"
-                merged.append((kind, None))
-            if x < len(common):
-                merged.append(common[x] if common[x][1] == other[y][1] else (common[x][0], None))
-            i, j = x + 1, y + 1
-        common = [t for n, t in enumerate(merged) if not (n and t == ("text", None) == merged[n - 1])]
+        if reads.search("".join(v for _, v in other)):
+            continue
+        merged = _merge(common, other)
+        if merged != common:
+            common = merged
+            reads = compile_pattern(pattern_of(_slots(common)), "full")[0]
+    return _slots(common)
+
+
+def _slots(common: list[tuple]) -> list[tuple]:
+    """Text and named slots of merged tokens."""
     out: list[tuple] = []
     names: Counter[str] = Counter()
     for kind, value in common:
@@ -124,7 +158,7 @@ def infer_lines(lines: list[str], support: int = SUPPORT) -> tuple[list[tuple[st
         if len(members) < support:
             reasons["below_support"] += len(members)
             continue
-        p = pattern_of(template(members[:64]))
+        p = pattern_of(template(members))
         found[p] = found.get(p, 0) + len(members)
     constant = lambda p: len(re.sub(r"\{[^}]*\}", "", p))
     order = sorted(found, key=lambda p: (-constant(p), p))[:TEMPLATES]

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship
+from ..functions import strategies
 from ..functions.timestamps import epoch_auto_ns
 from ..operators import analytics as an
 from ..operators import framing, store
 from ..operators.infer import infer_templates
-from .definitions import load_mapping, load_parsers
+from .definitions import detect, load_mapping, load_parsers, parser_of
 from .pipeline import process_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,9 +113,27 @@ SELECT doc_id, CASE WHEN contains(text, 'Licensed') THEN 'license' WHEN regexp_m
   WHEN contains(text, ' | ') THEN 'table' WHEN starts_with(text, 'The') THEN 'the' END AS parser FROM documents
 """)
 def detect_dispatch(spark, sf_dir):
-    t = F.col("text")
-    tests = F.when(t.contains("Licensed"), "license").when(t.rlike(r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), "address").when(t.contains(" | "), "table").when(t.startswith("The"), "the")
-    return table(spark, sf_dir, "documents").select("doc_id", tests.alias("parser"))
+    tests = {"license": {"contains": "Licensed"}, "address": {"regex": r"[0-9]{1,3}(\.[0-9]{1,3}){3}"}, "table": {"contains": " | "}, "the": {"starts_with": "The"}}
+    parsers = [parser_of({"parser": {"name": n}, "match": m, "strategy": {"kind": "kv"}}) for n, m in tests.items()]
+    return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text"), parsers).alias("parser"))
+
+
+def _fields(df: DataFrame, key: str, text: str, read: Callable[[str], strategies.Pairs], names: tuple[str, str]) -> DataFrame:
+    """One row for each field that a strategy reads of a column's texts; a text that it refuses gives none."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, t in zip(pdf[key], pdf[text], strict=True):
+                try:
+                    pairs = read(t.encode().decode("latin-1")) if t else []
+                except strategies.Failed:
+                    continue
+                rows += [(i, *(x.encode("latin-1").decode() for x in pair)) for pair in pairs]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return df.select(key, text).mapInPandas(run, f"{key} long, {names[0]} string, {names[1]} string")
 
 
 @query(r"""
@@ -121,9 +141,8 @@ SELECT page_id, regexp_extract(p, '^([^=]+)=', 1) AS k, regexp_extract(p, '=(.*)
 FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS p FROM pages) WHERE regexp_matches(p, '^[^=]+=')
 """)
 def kv_pairs(spark, sf_dir):
-    pairs = F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&")
-    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.filter(pairs, lambda p: p.rlike("^[^=]+="))).alias("p"))
-    return pages.select("page_id", F.regexp_extract("p", "^([^=]+)=", 1).alias("k"), F.regexp_extract("p", "=(.*)$", 1).alias("v"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"\?([^#]*)", 1).alias("q"))
+    return _fields(pages, "page_id", "q", lambda t: strategies.kv(t, "=", "&"), ("k", "v"))
 
 
 @query(r"""
@@ -136,8 +155,7 @@ def delimiter_columns(spark, sf_dir):
 
 @query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS v FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_flatten(spark, sf_dir):
-    flat = F.from_json("props", "map<string,string>")
-    return table(spark, sf_dir, "events").select("event_id", F.explode(flat).alias("path", "v"))
+    return _fields(table(spark, sf_dir, "events"), "event_id", "props", strategies.json_fields, ("path", "v"))
 
 
 @query(r"SELECT p_partkey, regexp_extract(p_name, '^(\S+) (.+)$', 1) AS first_word, regexp_extract(p_name, '^(\S+) (.+)$', 2) AS rest, regexp_extract(p_brand, '^Brand#([0-9]+)', 1)::INTEGER AS brand FROM part")
@@ -217,18 +235,30 @@ def unmapped_keys(spark, sf_dir):
 # -- counters ------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS events, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (value > 10) AS large, sum(strlen(props))::BIGINT AS bytes FROM events")
+@query("""
+SELECT count(*) AS events, count(*) FILTER (event_type <> 'error') AS detected, count(*) FILTER (event_type = 'error') AS no_parser, count(*) FILTER (event_type = 'view') AS parse_failed,
+  count(*) FILTER (event_id % 5 = 0) AS sub_uncovered, count(*) FILTER (event_id % 5 = 1) AS sub_no_match, count(*) FILTER (event_id % 7 = 0) AS time_from_receipt, count(*) FILTER (user_id % 3 = 0) AS class_unknown,
+  sum(strlen(props))::BIGINT AS unmapped_fields, sum(event_id % 2)::BIGINT AS enum_unmapped, count(*) FILTER (value > 10) AS utf8_lossy FROM events
+""")
 def counter_block(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("value") > 10).alias("large"), F.sum(F.octet_length("props")).cast("long").alias("bytes"))
+    kind, n = F.col("event_type"), F.col("event_id")
+    outcomes = table(spark, sf_dir, "events").select(
+        F.when(kind != "error", kind).alias("parser"), F.when(kind == "error", "no_parser").when(kind == "view", "failed").otherwise("parsed").alias("parse_status"),
+        F.when(n % 5 == 0, "uncovered").when(n % 5 == 1, "no_match").otherwise("matched").alias("sub_status"), F.when(n % 7 == 0, F.array(F.lit("receipt_fallback"))).otherwise(F.array(F.lit("utc"))).alias("time_policies"),
+        (F.col("user_id") % 3).alias("class_uid"), F.octet_length("props").alias("unmapped_fields"), (n % 2).alias("enum_unmapped"), (F.col("value") > 10).alias("utf8_lossy"),
+    )
+    return an.counters(outcomes)
 
 
 @query("""
-WITH n AS (SELECT source, lang, count(*) AS n, max(doc_id) AS last FROM documents GROUP BY ALL)
-SELECT source, sum(n)::BIGINT AS events, max(last) AS last_seen, arg_max(lang, (n, lang)) AS established FROM n GROUP BY source
+WITH n AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL),
+e AS (SELECT source, arg_max(lang, (n, lang)) AS established FROM n GROUP BY source),
+s AS (SELECT source, count(*) AS events, count(*) FILTER (doc_id % 10 = 3) AS no_parser, count(*) FILTER (doc_id % 10 = 4) AS parse_failed, max(doc_id) AS last_seen FROM documents GROUP BY source)
+SELECT s.source, s.events, s.no_parser, s.parse_failed, s.last_seen, e.established FROM s LEFT JOIN e ON s.source IS NOT DISTINCT FROM e.source
 """)
 def source_stats(spark, sf_dir):
-    per = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-    return per.groupBy("source").agg(F.sum("n").alias("events"), F.max("last").alias("last_seen"), F.max_by("lang", F.struct("n", "lang")).alias("established"))
+    status = F.when(F.col("doc_id") % 10 == 3, "no_parser").when(F.col("doc_id") % 10 == 4, "failed").otherwise("parsed")
+    return an.source_stats(table(spark, sf_dir, "documents").select("source", F.col("lang").alias("parser"), status.alias("parse_status"), F.col("doc_id").alias("time")))
 
 
 @query("SELECT event_type, count(*) AS events FROM events GROUP BY event_type")

@@ -276,6 +276,22 @@ def test_inference(spark):
     assert len(rows) == 2 and definitions.parser_of(__import__("tomllib").loads(rows[0].definition)).name == "s"
 
 
+def test_inference_reads_all_members_and_whole_lines():
+    import random
+
+    late = [f"job {'x' if i < 100 else 'y'} took {i} ms" for i in range(120)]
+    found, _ = infer.infer_lines(late)
+    assert [(n, v) for _, n, v in found] == [(120, 120)]
+    same = "a " * 80
+    assert infer.similarity(("z " + same + "b " * 80).split(), ("c " * 90 + same).split()) == 160 / 331
+    r = random.Random(1)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(12))] for _ in range(2))
+        pairs = infer.lcs(a, b)
+        assert infer.lcs_length(a, b) == len(pairs) and all(a[i] == b[j] for i, j in pairs)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+
+
 def test_engine(spark, tmp_path):
     import shutil
 
