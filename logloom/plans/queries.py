@@ -66,7 +66,7 @@ def frame_summary(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS digest, strlen(text)::BIGINT AS bytes FROM documents")
 def event_digests(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(store.digest(F.col("text").cast("binary")))).alias("digest"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS raw_id FROM events")
