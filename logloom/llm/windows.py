@@ -30,7 +30,7 @@ def run_minima(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray,
     start = np.flatnonzero(own[: n - t + 1] == own[t - 1 :])  # runs that stay in a text
     low = low[start]
     new = np.ones(len(start), bool)
-    new[1:] = low[1:] != low[:-1]
+    new[1:] = (low[1:] != low[:-1]) | (own[start[1:]] != own[start[:-1]])
     start, low = start[new], low[new]
     return np.unique(start + ((low - place[start]) & _PLACE).astype(np.int64)), x
 

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+
+from logloom.llm.windows import run_minima
+
 
 def test_near_copies_behind_other_first_texts(spark):
     """Every band that two near copies share starts with a text that is like neither."""
@@ -99,3 +103,15 @@ def test_passages_at_other_offsets():
     assert found(long + gap + one, one + long) == [(0, 50, 250, 300), (50, 200, 0, 150)]
     assert found(one[:10] + gap + one + gap + two, one + two) == [(0, 50, 110, 160), (50, 100, 260, 310)]
     assert found(one, one) == [(0, 50, 0, 50)]
+
+
+def test_minima_of_texts_that_meet_alike():
+    """A text's first run may have the value and place that the last run of the text before had."""
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        at = np.concatenate([[0], np.cumsum(r.integers(0, 30, int(r.integers(1, 6))))])
+        v, t = r.integers(0, 5, int(at[-1])).astype(np.uint64) << np.uint64(30), int(r.integers(1, 8))
+        want = {int(i + np.argmin(v[i : i + t])) for a, b in zip(at[:-1], at[1:], strict=True) for i in range(a, b - t + 1)}
+        assert run_minima(v, at, t)[0].tolist() == sorted(want)
+    v = np.tile(np.array([5, 1, 7], np.uint64) << np.uint64(30), 2)
+    assert run_minima(v, np.array([0, 3, 6]), 3)[0].tolist() == [1, 4]
