@@ -32,7 +32,8 @@ def run_minima(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray,
     new = np.ones(len(start), bool)
     new[1:] = (low[1:] != low[:-1]) | (own[start[1:]] != own[start[:-1]])
     start, low = start[new], low[new]
-    return np.unique(start + ((low - place[start]) & _PLACE).astype(np.int64)), x
+    # the place of the least value never goes back as a run moves on
+    return start + ((low - place[start]) & _PLACE).astype(np.int64), x
 
 
 def compact_windows(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,18 +58,21 @@ def compact_windows(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndar
 
 def _smaller(v: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest smaller value's index on either side in the same text, or -1."""
-    before, after = [-1] * len(v), [-1] * len(v)
-    stack: list[int] = []
-    vals, last = v.tolist(), -1
-    for i, (y, owned) in enumerate(zip(vals, text.tolist(), strict=True)):
-        if owned != last:
-            stack, last = [], owned
-        while stack and vals[stack[-1]] > y:
-            after[stack.pop()] = i
-        if stack:
-            before[i] = stack[-1]
-        stack.append(i)
-    return np.array(before, np.int64), np.array(after, np.int64)
+    n = len(v)
+    edge = np.flatnonzero(text[1:] != text[:-1])
+    before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+    before[edge + 1] = -1
+    after[edge] = after[-1] = -1
+    for near in (before, after):
+        # all that lies between i and near[i] is greater than v[i]; so is what a greater neighbour has passed by
+        todo = np.flatnonzero(near >= 0)
+        while True:
+            todo = todo[v[near[todo]] > v[todo]]
+            if not len(todo):
+                break
+            near[todo] = near[near[todo]]
+            todo = todo[near[todo] >= 0]
+    return before, after
 
 
 def signature_windows(shingles: np.ndarray, at: np.ndarray, t: int, hashes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
