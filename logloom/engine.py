@@ -130,11 +130,27 @@ class Engine:
         header = an.entity_summary(posts.where((F.col("kind") == kind) & (F.col("value") == value)))
         return {"header": header, "devices": an.devices_of(posts, kind, value), "events": page.join(self.events().select("raw_id", "normalized"), "raw_id"), "related": an.related(posts, kind, value)}
 
+    def parser_hits(self) -> DataFrame:
+        return an.parser_hits(self.events())
+
+    def source_parsers(self) -> DataFrame:
+        return an.source_parsers(self.events())
+
+    def trust_flags(self) -> DataFrame:
+        return an.trust_flags(self.events())
+
     def drift_alerts(self) -> DataFrame:
         e = self.events()
+        if (Path(self.root) / "cleared").exists():
+            e = an.since_clear(e, self.spark.read.parquet(f"{self.root}/cleared"))
         windows = an.drift_windows(e, F.col("source"), F.col("parse_status") != "parsed", "raw_id")
         return an.drift_states(windows).orderBy(F.desc("tripped"), "source")
 
+    def clear_drift(self, source: str) -> None:
+        """A source whose update was approved or rejected starts a fresh baseline after its events so far."""
+        last = self.events().where(F.col("source") == source).groupBy("source").agg(F.max("raw_id").alias("raw_id"))
+        last.coalesce(1).write.mode("append").parquet(f"{self.root}/cleared")
+
     def traceback(self, raw_id: int) -> dict:
         """One event from its bytes to its emitted line, with fields and provenance."""
         row = self.records().where(F.col("raw_id") == raw_id).first()
@@ -175,6 +191,6 @@ class Engine:
         return store.attest(self.records().select("raw_id", "sha256", "chain"))
 
     def infer(self) -> int:
-        """Proposals for events that no parser reads."""
-        unknown = self.events().where("parse_status <> 'parsed'").select("raw_id", "source")
+        """Proposals for events that no parser owns and, of sources that have drifted, for those that failed since."""
+        unknown = an.routed(self.events(), self.drift_alerts()).select("raw_id", "source")
         return self.review().propose(self.raw().join(unknown, ["raw_id", "source"]).select("source", "raw_id", latin1(F.col("bytes")).alias("line")))

@@ -49,6 +49,40 @@ def source_stats(events: DataFrame) -> DataFrame:
     )
 
 
+def parser_hits(events: DataFrame) -> DataFrame:
+    """(parser, events): how many events each parser owns."""
+    return by_reason(events, "parser")
+
+
+def source_parsers(events: DataFrame) -> DataFrame:
+    """(source, parser, events): a source's events by the parser that owns them."""
+    return events.where(F.col("parser").isNotNull()).groupBy("source", "parser").agg(F.count("*").alias("events"))
+
+
+def trust_flags(events: DataFrame) -> DataFrame:
+    """The outcome flags of each event; ``unmapped`` is a number of fields.  Their sums are the counters."""
+    return events.select(
+        "raw_id",
+        (F.col("parse_status") == "no_parser").alias("no_parser"),
+        (~F.col("parse_status").isin("parsed", "no_parser")).alias("parse_failed"),
+        (F.col("sub_status") == "uncovered").alias("sub_uncovered"),
+        (F.col("sub_status") == "no_match").alias("sub_no_match"),
+        F.array_contains("time_policies", "receipt_fallback").alias("time_from_receipt"),
+        F.col("time_error").isNotNull().alias("time_error"),
+        (F.col("class_uid") == 0).alias("class_unknown"),
+        F.col("unmapped_fields").alias("unmapped"),
+        "utf8_lossy",
+    )
+
+
+def look_up(rows: DataFrame, entries: DataFrame, key: str, entry_key: str, required: bool = True) -> DataFrame:
+    """Rows with their dictionary entry; those without one go, or stay with nulls if it is not ``required``.
+
+    The dictionary is broadcast only where its size as known to the planner allows it.
+    """
+    return rows.join(entries, rows[key] == entries[entry_key], "inner" if required else "left")
+
+
 # -- entities -----------------------------------------------------------------------
 
 
@@ -157,24 +191,40 @@ def diff_summary(diff: DataFrame, top: int = 200) -> DataFrame:
 
 
 def drift_windows(events: DataFrame, source: Column, missed: Column, order: str, size: int = WINDOW) -> DataFrame:
-    """(source, window, events, misses, full): fixed numbers of events of each source in order."""
+    """(source, window, events, misses, last, full): fixed numbers of events of each source in order; last: the last one's place."""
     w = Window.partitionBy("source").orderBy(order)
     n = events.select(source.alias("source"), missed.alias("missed"), order).withColumn("window", F.floor((F.row_number().over(w) - 1) / size))
-    out = n.groupBy("source", "window").agg(F.count("*").alias("events"), F.count_if("missed").alias("misses"))
+    out = n.groupBy("source", "window").agg(F.count("*").alias("events"), F.count_if("missed").alias("misses"), F.max(order).cast("long").alias("last"))
     return out.withColumn("full", F.col("events") == size)
 
 
 def drift_states(windows: DataFrame) -> DataFrame:
-    """Folds each source's full windows in order: tripped or not, baseline and clean windows at the end."""
-    state = "named_struct('tripped', false, 'trips', 0, 'clean', 0, 'n', 0L, 'm', 0L)"
-    seq = windows.where("full").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("window", "events", "misses"))).alias("w"))
+    """Folds each source's full windows in order: tripped or not, since which event, baseline and clean windows at the end."""
+    state = "named_struct('tripped', false, 'trips', 0, 'clean', 0, 'n', 0L, 'm', 0L, 'since', CAST(NULL AS BIGINT))"
+    last = "last" if "last" in windows.columns else F.lit(None).cast("long").alias("last")
+    seq = windows.where("full").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("window", "events", "misses", last))).alias("w"))
     fold = f"""
       aggregate(w, {state}, (s, x) ->
         CASE WHEN s.tripped AND x.misses / x.events < s.m / greatest(s.n, 1L) + {TRIP_RISE} THEN
-               CASE WHEN s.clean + 1 >= {CLEAN} THEN named_struct('tripped', false, 'trips', s.trips, 'clean', 0, 'n', 0L, 'm', 0L)
-                    ELSE named_struct('tripped', true, 'trips', s.trips, 'clean', s.clean + 1, 'n', s.n, 'm', s.m) END
-             WHEN s.tripped THEN named_struct('tripped', true, 'trips', s.trips, 'clean', 0, 'n', s.n, 'm', s.m)
+               CASE WHEN s.clean + 1 >= {CLEAN} THEN named_struct('tripped', false, 'trips', s.trips, 'clean', 0, 'n', 0L, 'm', 0L, 'since', CAST(NULL AS BIGINT))
+                    ELSE named_struct('tripped', true, 'trips', s.trips, 'clean', s.clean + 1, 'n', s.n, 'm', s.m, 'since', s.since) END
+             WHEN s.tripped THEN named_struct('tripped', true, 'trips', s.trips, 'clean', 0, 'n', s.n, 'm', s.m, 'since', s.since)
              WHEN s.n >= {BASELINE_EVENTS} AND s.m / s.n < {BASELINE_RATE} AND x.misses >= {TRIP_MISSES} AND x.misses / x.events >= s.m / s.n + {TRIP_RISE}
-               THEN named_struct('tripped', true, 'trips', s.trips + 1, 'clean', 0, 'n', s.n, 'm', s.m)
-             ELSE named_struct('tripped', false, 'trips', s.trips, 'clean', 0, 'n', s.n + x.events, 'm', s.m + x.misses) END)"""
-    return seq.select("source", F.expr(fold).alias("s")).select("source", "s.tripped", "s.trips", "s.clean", F.col("s.n").alias("baseline_events"), F.col("s.m").alias("baseline_misses"))
+               THEN named_struct('tripped', true, 'trips', s.trips + 1, 'clean', 0, 'n', s.n, 'm', s.m, 'since', x.last)
+             ELSE named_struct('tripped', false, 'trips', s.trips, 'clean', 0, 'n', s.n + x.events, 'm', s.m + x.misses, 'since', s.since) END)"""
+    return seq.select("source", F.expr(fold).alias("s")).select("source", "s.tripped", "s.trips", "s.clean", F.col("s.n").alias("baseline_events"), F.col("s.m").alias("baseline_misses"), "s.since")
+
+
+def routed(events: DataFrame, states: DataFrame) -> DataFrame:
+    """The events that inference gets: those without a parser, and of tripped sources those that failed after the trip."""
+    since = states.where("tripped").select("source", "since")
+    met = events.join(since, "source", "left")
+    failed = ~F.col("parse_status").isin("parsed", "no_parser")
+    return met.where((F.col("parse_status") == "no_parser") | (failed & (F.col("raw_id") > F.col("since")))).select(*events.columns)
+
+
+def since_clear(events: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Events after their source's last cleared one; sources never cleared keep all."""
+    until = cleared.groupBy("source").agg(F.max("raw_id").alias("until"))
+    met = events.join(until, "source", "left")
+    return met.where(F.col("until").isNull() | (F.col("raw_id") > F.col("until"))).select(*events.columns)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from ..functions.timestamps import epoch_auto_ns
 from ..operators import analytics as an
 from ..operators import framing, store
 from ..operators.infer import infer_templates
-from .definitions import detect, load_mapping, load_parsers, parser_of
-from .pipeline import process_events
+from .definitions import Mapping, Step, ascii_lower, detect, load_mapping, load_parsers, parser_of
+from .pipeline import _arrow, _columns, choose, class_of, normalize_event, process_events, run_subs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,6 +106,29 @@ def resume_offsets(spark, sf_dir):
     return store.resume_offsets(table(spark, sf_dir, "documents"), "text").withColumn("bytes_stored", F.col("bytes_stored").cast("long"))
 
 
+def _each(df: DataFrame, ddl: str, make: Callable[[dict], Iterable[tuple]]) -> DataFrame:
+    """The rows that ``make`` gives for each row, in Arrow batches."""
+    ship(df.sparkSession)
+    names = [x.split(" ")[0] for x in ddl.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            yield _columns([dict(zip(names, r, strict=True)) for row in batch.to_pylist() for r in make(row)], _arrow(ddl))
+
+    return df.mapInArrow(run, ddl)
+
+
+def _mapping(**parts) -> Mapping:
+    """A mapping of the given parts, the others empty."""
+    return Mapping(**{"name": "query", "version": "", "entities": {}, "absent": set(), "fields": {}, "ints": set(), "enums": [], "classes": [], "default_class": {}, **parts})
+
+
+def _normal(fields: list[tuple[str, str]], m: Mapping) -> dict:
+    """The schema object of an event with these fields."""
+    row = {"raw_id": 0, "source": "", "receipt_ns": 0, "parser": "query", "parse_status": "parsed", "sub_status": "not_applicable", "epoch_ns": 0, "time_policies": [], "time_text": None, "time_error": None}
+    return json.loads(normalize_event({**row, "fields": fields}, m, {})["normalized"])
+
+
 # -- detection and strategies ----------------------------------------------------------
 
 
@@ -127,7 +151,7 @@ def _fields(df: DataFrame, key: str, text: str, read: Callable[[str], strategies
             rows = []
             for i, t in zip(pdf[key], pdf[text], strict=True):
                 try:
-                    pairs = read(t.encode().decode("latin-1")) if t else []
+                    pairs = read(t.encode().decode("latin-1")) if t is not None else []
                 except strategies.Failed:
                     continue
                 rows += [(i, *(x.encode("latin-1").decode() for x in pair)) for pair in pairs]
@@ -150,7 +174,8 @@ SELECT page_id, n::INTEGER AS pos, v FROM (SELECT page_id, unnest(s) AS v, gener
 FROM (SELECT page_id, string_split(url, '/') AS s FROM pages))
 """)
 def delimiter_columns(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split("url", "/")).alias("pos", "v"))
+    columns = _fields(table(spark, sf_dir, "pages"), "page_id", "url", lambda t: strategies.delimiter(t, "/", []), ("column", "v"))
+    return columns.select("page_id", (F.regexp_extract("column", "column_([0-9]+)", 1).cast("int") - 1).alias("pos"), "v")
 
 
 @query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS v FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
@@ -160,9 +185,17 @@ def json_flatten(spark, sf_dir):
 
 @query(r"SELECT p_partkey, regexp_extract(p_name, '^(\S+) (.+)$', 1) AS first_word, regexp_extract(p_name, '^(\S+) (.+)$', 2) AS rest, regexp_extract(p_brand, '^Brand#([0-9]+)', 1)::INTEGER AS brand FROM part")
 def pattern_extract(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", F.regexp_extract("p_name", r"^(\S+) (.+)$", 1).alias("first_word"), F.regexp_extract("p_name", r"^(\S+) (.+)$", 2).alias("rest"), F.regexp_extract("p_brand", r"^Brand#([0-9]+)", 1).cast("int").alias("brand")
-    )
+    def read(row):
+        name, brand = slots(row["p_name"], "{first:word} {more:text}"), slots(row["p_brand"], "Brand#{n:int}")
+        yield row["p_partkey"], name.get("first", ""), name.get("more", ""), int(brand["n"]) if brand else None
+
+    def slots(text, pattern):
+        try:
+            return dict(strategies.pattern(text or "", [pattern]))
+        except strategies.Failed:
+            return {}
+
+    return _each(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey long, first_word string, rest string, brand int", read)
 
 
 @query("""
@@ -170,9 +203,14 @@ SELECT event_id, CASE WHEN event_type NOT IN ('purchase', 'click') THEN 'not_app
   WHEN json_extract_string(props, '$.k')::INTEGER >= 50 THEN 'matched' ELSE 'uncovered' END AS sub_status FROM events
 """)
 def sub_gate(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    status = F.when(~F.col("event_type").isin("purchase", "click"), "not_applicable").when(k.isNull(), "no_match").when(k.cast("int") >= 50, "matched").otherwise("uncovered")
-    return table(spark, sf_dir, "events").select("event_id", status.alias("sub_status"))
+    sub = Step("pattern", {"regexes": ['"k": *(?P<k>[0-9]+)'], "anchor": "none"}, "props", {"grade": ["high"]})
+
+    def gate(row):
+        fields = [("grade", row["grade"])] + ([("props", row["props"])] if row["event_type"] in ("purchase", "click") else [])
+        yield row["event_id"], run_subs((sub,), fields)
+
+    low = F.get_json_object("props", "$.k").cast("int") < 50
+    return _each(table(spark, sf_dir, "events").select("event_id", "event_type", "props", F.when(low, "low").otherwise("high").alias("grade")), "event_id long, sub_status string", gate)
 
 
 @query("""
@@ -194,9 +232,14 @@ def time_epoch_auto(spark, sf_dir):
 SELECT event_id, CASE WHEN event_type IN ('signup') THEN 3002 WHEN event_type IN ('view', 'click') THEN 4002 WHEN event_type = 'purchase' AND value > 0 THEN 6003 ELSE 0 END::BIGINT AS class_uid FROM events
 """)
 def class_rules(spark, sf_dir):
-    t = F.col("event_type")
-    uid = F.when(t == "signup", 3002).when(t.isin("view", "click"), 4002).when((t == "purchase") & (F.col("value") > 0), 6003).otherwise(0)
-    return table(spark, sf_dir, "events").select("event_id", uid.cast("long").alias("class_uid"))
+    m = _mapping(classes=[{"uid": 3002, "when": [{"type": "signup"}]}, {"uid": 4002, "when": [{"type": ["view", "click"]}]}, {"uid": 6003, "when": [{"type": "purchase", "sign": "plus"}]}])
+
+    def rule(row):
+        fields = [("type", row["event_type"]), ("sign", row["sign"])]
+        yield row["event_id"], class_of(fields, m, [ascii_lower(v) for _, v in fields]).get("uid", 0)
+
+    sign = F.when(F.col("value") > 0, "plus").otherwise("other")
+    return _each(table(spark, sf_dir, "events").select("event_id", "event_type", sign.alias("sign")), "event_id long, class_uid long", rule)
 
 
 @query("""
@@ -204,20 +247,29 @@ SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'O' THEN 'Open
   CASE WHEN o_orderstatus IN ('F', 'O') THEN NULL ELSE o_orderstatus END AS unmapped FROM orders
 """)
 def enum_map(spark, sf_dir):
-    name = F.create_map(F.lit("F"), F.lit("Closed"), F.lit("O"), F.lit("Open"))
-    number = F.create_map(F.lit("F"), F.lit(2), F.lit("O"), F.lit(1))
-    s = F.col("o_orderstatus")
-    hit = F.try_element_at(name, s)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(hit, F.lit("Other")).alias("status"), F.coalesce(F.try_element_at(number, s), F.lit(99)).alias("status_id"), F.when(hit.isNull(), s).alias("unmapped"))
+    other = {"value": "Other", "id": 99}
+    values = [{"value": "Closed", "id": 2, "raw": ["F"]}, {"value": "Open", "id": 1, "raw": ["O"]}]
+    m = _mapping(fields={"status": ["s"]}, enums=[{"field": "status", "id_field": "status_id", "values": values, "other": other, "unknown": other}])
+
+    def enum(row):
+        out = _normal([("s", row["s"])] if row["s"] is not None else [], m)
+        yield row["o_orderkey"], out["status"], out["status_id"], out.get("unmapped", {}).get("s")
+
+    return _each(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s")), "o_orderkey long, status string, status_id int, unmapped string", enum)
 
 
 @query("""
 SELECT doc_id, CASE WHEN lang <> 'en' THEN 'lang' WHEN source IS NOT NULL THEN 'source' END AS fed_by, CASE WHEN lang <> 'en' THEN lang ELSE source END AS value FROM documents
 """)
 def alias_choose(spark, sf_dir):
-    present = lambda c, absent: F.when(~F.col(c).isin(absent), F.struct(F.lit(c).alias("k"), F.col(c).alias("v")))
-    best = F.coalesce(present("lang", ["en", ""]), present("source", [""]))
-    return table(spark, sf_dir, "documents").select("doc_id", best["k"].alias("fed_by"), best["v"].alias("value"))
+    m = _mapping(absent={"en"}, fields={"tag": ["lang", "source"]})
+
+    def tag(row):
+        fields = [(k, row[k]) for k in ("source", "lang") if row[k] is not None]
+        i = choose(fields, m).get("tag")
+        yield (row["doc_id"], *(fields[i] if i is not None else (None, None)))
+
+    return _each(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id long, fed_by string, value string", tag)
 
 
 @query(r"""
@@ -226,10 +278,14 @@ n AS (SELECT conv_id, turn, w, row_number() OVER (PARTITION BY conv_id, turn, w
 SELECT conv_id, turn, CASE WHEN n = 1 THEN w ELSE w || '#' || n END AS key FROM n
 """)
 def unmapped_keys(spark, sf_dir):
+    m = _mapping()
+
+    def keys(row):
+        for key in _normal([(w, "x") for w in row["words"] or ()], m).get("unmapped", {}):
+            yield row["conv_id"], row["turn"], key
+
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w.isin("the", "de", "der"))
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.size(F.filter(F.slice(words, 1, i + 1), lambda x: x == w)).alias("n")))
-    out = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(numbered).alias("x"))
-    return out.select("conv_id", "turn", F.when(F.col("x.n") == 1, F.col("x.w")).otherwise(F.concat("x.w", F.lit("#"), F.col("x.n").cast("string"))).alias("key"))
+    return _each(table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("words")), "conv_id long, turn long, key string", keys)
 
 
 # -- counters ------------------------------------------------------------------------------
@@ -266,6 +322,29 @@ def reason_counts(spark, sf_dir):
     return an.by_reason(table(spark, sf_dir, "events"), "event_type")
 
 
+@query("SELECT lang AS parser, count(*) AS events FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def parser_hits(spark, sf_dir):
+    return an.parser_hits(table(spark, sf_dir, "documents").select(F.col("lang").alias("parser")))
+
+
+@query("SELECT source, lang AS parser, count(*) AS events FROM documents WHERE lang IS NOT NULL GROUP BY source, lang")
+def source_parsers(spark, sf_dir):
+    return an.source_parsers(table(spark, sf_dir, "documents").select("source", F.col("lang").alias("parser")))
+
+
+@query("""
+SELECT event_id AS raw_id, event_type = 'error' AS no_parser, event_type = 'view' AS parse_failed, event_id % 5 = 0 AS sub_uncovered, event_id % 5 = 1 AS sub_no_match, event_id % 7 = 0 AS time_from_receipt,
+  event_id % 9 = 0 AS time_error, user_id % 3 = 0 AS class_unknown, strlen(props)::INTEGER AS unmapped, value > 10 AS utf8_lossy FROM events
+""")
+def trust_flags(spark, sf_dir):
+    kind, n = F.col("event_type"), F.col("event_id")
+    return an.trust_flags(table(spark, sf_dir, "events").select(
+        n.alias("raw_id"), F.when(kind == "error", "no_parser").when(kind == "view", "invalid_json").otherwise("parsed").alias("parse_status"), F.when(n % 5 == 0, "uncovered").when(n % 5 == 1, "no_match").otherwise("matched").alias("sub_status"),
+        F.when(n % 7 == 0, F.array(F.lit("receipt_fallback"))).otherwise(F.array()).alias("time_policies"), F.when(n % 9 == 0, "bad_hour").alias("time_error"), (F.col("user_id") % 3).alias("class_uid"),
+        F.octet_length("props").alias("unmapped_fields"), (F.col("value") > 10).alias("utf8_lossy"),
+    ))
+
+
 # -- entities ------------------------------------------------------------------------------
 
 _POSTS = """
@@ -307,7 +386,8 @@ def related_values(spark, sf_dir):
 @query("SELECT n_name, c_mktsegment, count(*) AS orders, count(s_suppkey) AS suppliers FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN supplier ON s_suppkey = o_custkey GROUP BY ALL")
 def dictionary_join(spark, sf_dir):
     o, c, n, s = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "supplier"))
-    both = o.join(c, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(s, F.col("s_suppkey") == F.col("o_custkey"), "left")
+    both = an.look_up(an.look_up(o, c, "o_custkey", "c_custkey"), n, "c_nationkey", "n_nationkey")
+    both = an.look_up(both, s, "o_custkey", "s_suppkey", required=False)
     return both.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.count("s_suppkey").alias("suppliers"))
 
 
@@ -368,12 +448,32 @@ WITH n AS (SELECT event_type AS source, value > 20 AS missed, (row_number() OVER
 SELECT source, w::BIGINT AS "window", count(*) AS events, count(*) FILTER (missed) AS misses, count(*) = 512 AS "full" FROM n GROUP BY ALL
 """)
 def drift_windows(spark, sf_dir):
-    return an.drift_windows(table(spark, sf_dir, "events"), F.col("event_type"), F.col("value") > 20, "event_id")
+    return an.drift_windows(table(spark, sf_dir, "events"), F.col("event_type"), F.col("value") > 20, "event_id").drop("last")
 
 
 @query()
 def drift_states(spark, sf_dir):
-    return an.drift_states(drift_windows(spark, sf_dir))
+    return an.drift_states(an.drift_windows(table(spark, sf_dir, "events"), F.col("event_type"), F.col("value") > 20, "event_id"))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 4
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("raw_id"), F.col("event_type").alias("source"), F.when(n == 0, "no_parser").when(n == 1, "no_pairs").otherwise("parsed").alias("parse_status"))
+
+
+@query("""
+SELECT event_id AS raw_id, event_type AS source FROM events
+WHERE event_id % 4 = 0 OR event_id % 4 = 1 AND (event_type = 'view' AND event_id > 500 OR event_type = 'click' AND event_id > 100)
+""")
+def drift_routing(spark, sf_dir):
+    states = spark.createDataFrame([("view", True, 500), ("click", True, 100), ("purchase", False, None)], "source string, tripped boolean, since long")
+    return an.routed(_outcomes(spark, sf_dir), states).select("raw_id", "source")
+
+
+@query("SELECT event_id AS raw_id, event_type AS source FROM events WHERE NOT (event_type = 'view' AND event_id <= 300 OR event_type = 'click' AND event_id <= 50)")
+def drift_cleared(spark, sf_dir):
+    cleared = spark.createDataFrame([("view", 200), ("view", 300), ("click", 50)], "source string, raw_id long")
+    return an.since_clear(_outcomes(spark, sf_dir), cleared).select("raw_id", "source")
 
 
 # -- whole plans ------------------------------------------------------------------------------

@@ -236,6 +236,36 @@ def test_drift(spark):
     assert got == {"a": (False, 1, 512), "b": (False, 0, 2560), "c": (True, 1, 1024)}
 
 
+def test_routing_and_clearing(spark):
+    """Failed lines go to inference only after the trip; a cleared source starts anew."""
+    n = 512
+    e = spark.range(6 * n).select(F.col("id").alias("raw_id"), F.lit("a").alias("source"), F.when((F.col("id") >= 2 * n) & (F.col("id") % 2 == 0), "no_pairs").when(F.col("id") == 5, "no_parser").otherwise("parsed").alias("parse_status"))
+    states = lambda x: an.drift_states(an.drift_windows(x, F.col("source"), F.col("parse_status") != "parsed", "raw_id"))
+    got = states(e).first()
+    assert (got.tripped, got.since) == (True, 3 * n - 1)
+    routed = sorted(r.raw_id for r in an.routed(e, states(e)).collect())
+    assert routed == [5, *range(3 * n, 6 * n, 2)]
+    cleared = spark.createDataFrame([("a", 10), ("a", 4 * n - 1)], "source string, raw_id long")
+    assert an.since_clear(e, cleared).agg(F.min("raw_id")).first()[0] == 4 * n
+    again = states(an.since_clear(e, cleared)).first()
+    assert (again.tripped, again.since, again.baseline_events) == (False, None, 2 * n)
+    assert an.since_clear(e, cleared.limit(0)).count() == 6 * n
+    assert an.routed(e, states(e.limit(0))).count() == 1
+
+
+def test_flags_and_dictionaries(spark):
+    rows = [(1, "parsed", "matched", ["utc"], None, 3, 0, False), (2, "no_parser", "uncovered", ["receipt_fallback"], "bad_hour", 0, 2, True)]
+    e = spark.createDataFrame(rows, "raw_id long, parse_status string, sub_status string, time_policies array<string>, time_error string, class_uid long, unmapped_fields int, utf8_lossy boolean")
+    got = [tuple(r)[1:] for r in an.trust_flags(e).orderBy("raw_id").collect()]
+    assert got == [(False, False, False, False, False, False, False, 0, False), (True, False, True, False, True, True, True, 2, True)]
+    left, right = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(1, "x")], "id int, v string")
+    assert [r.v for r in an.look_up(left, right, "k", "id").collect()] == ["x"]
+    assert sorted(str(r.v) for r in an.look_up(left, right, "k", "id", required=False).collect()) == ["None", "None", "x"]
+    p = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", None), ("t", "b")], "source string, parser string")
+    assert {(r.parser, r.events) for r in an.parser_hits(p).collect()} == {("a", 2), ("b", 1)}
+    assert {tuple(r) for r in an.source_parsers(p).collect()} == {("s", "a", 2), ("t", "b", 1)}
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(i // 3, i) for i in range(30)], "time long, raw_id long")
     page, cursor = [], None
