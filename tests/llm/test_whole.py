@@ -115,3 +115,53 @@ def test_minima_of_texts_that_meet_alike():
         assert run_minima(v, at, t)[0].tolist() == sorted(want)
     v = np.tile(np.array([5, 1, 7], np.uint64) << np.uint64(30), 2)
     assert run_minima(v, np.array([0, 3, 6]), 3)[0].tolist() == [1, 4]
+
+
+def test_windows_meet_all_earlier_ones_in_few_turns(spark, monkeypatch):
+    """Cells of few windows, in several turns, give what one cell gives; windows that have met all texts are not compared again."""
+    from logloom.llm import substring_dedup as sd
+
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+
+    def around(p):
+        return " ".join([f"u{rng.random()}" for _ in range(60)] + p + [f"u{rng.random()}" for _ in range(60)])
+
+    def spoilt(first):
+        return [f"x{rng.random()}" if i % 12 == first else w for i, w in enumerate(passage)]
+
+    texts = [around(spoilt(5 + i % 7)) for i in range(60)] + [around(passage), around(passage)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared, turns = [], []
+    whole, laid = sd._next_earlier, sd._contents
+
+    def counted(*args):
+        compared.append(args)
+        return whole(*args)
+
+    def dealt(*args):
+        turns.append(args)
+        return laid(*args)
+
+    monkeypatch.setattr(sd, "_next_earlier", counted)
+    monkeypatch.setattr(sd, "_contents", dealt)
+
+    def found():
+        return [tuple(r) for r in sd.repeated_passages(docs).where("doc_id >= 60").collect()]
+
+    want = [(61, 60, 120, 60)]
+    assert found() == want
+    assert len(compared) == 1 and turns == [(0, 1)]
+    turns.clear()
+    monkeypatch.setattr(sd, "BLOCK", 5)
+    monkeypatch.setattr(sd, "PLACES", 50)
+    assert found() == want
+    assert len(turns) > 1 and len(compared) == 2, (turns, len(compared))
+
+
+def test_shared_places():
+    from logloom.llm.substring_dedup import shared_places
+
+    rng = np.random.default_rng(10)
+    late, early = ([rng.integers(0, 300, rng.integers(1, 90)).astype("<u2") for _ in range(n)] for n in (23, 31))
+    assert (shared_places(late, early) == [[np.isin(x, y).sum() for y in early] for x in late]).all()
