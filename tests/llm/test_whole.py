@@ -165,3 +165,66 @@ def test_shared_places():
     rng = np.random.default_rng(10)
     late, early = ([rng.integers(0, 300, rng.integers(1, 90)).astype("<u2") for _ in range(n)] for n in (23, 31))
     assert (shared_places(late, early) == [[np.isin(x, y).sum() for y in early] for x in late]).all()
+
+
+def test_runs_around():
+    from logloom.llm.substring_dedup import best_runs, runs_around
+
+    rng = np.random.default_rng(3)
+    rows = [np.repeat(rng.random(40) < 0.6, rng.integers(1, rng.choice([4, 12, 40]), 40))[: rng.integers(1, 300)] for _ in range(800)]
+    p = np.array([rng.integers(len(x)) for x in rows])
+    got = runs_around(np.concatenate(rows), np.array([len(x) for x in rows]), p, 6)
+    want = [any(a <= k < b for a, b in best_runs(x, 6, 8)) for x, k in zip(rows, p, strict=True)]
+    assert got.tolist() == want and 100 < sum(want) < 700
+
+
+def test_cells_give_the_same_together_and_alone(monkeypatch):
+    """Windows compared in pooled small cells, in large cells, and over batch edges; against best_runs for every pair."""
+    import pyarrow as pa
+
+    from logloom.llm import substring_dedup as sd
+
+    rng = np.random.default_rng(4)
+    t, most, need = 12, 3, 11
+    rows = []
+    for key in range(12):
+        line, base = rng.integers(0, 1 << 16, 5), rng.integers(0, 1 << 16, 60)
+        for nid in range(int(rng.integers(2, 40))):
+            x = base.copy() if rng.random() < 0.5 else rng.integers(0, 1 << 16, 60)
+            x[rng.random(60) < 0.03] = 7
+            x[20:25] = line
+            late = bool(rng.random() < 0.7)
+            rows.append({"key": key, "salt": 0, "late": late, "early": True, "doc_id": int(rng.integers(0, 9)), "nid": nid, "l": 3, "p": 25, "r": 62, "sd": sd.FIRST, "sn": sd.FIRST, "data": x.astype("<u2").tobytes()})
+    rows.sort(key=lambda x: (x["key"], not x["late"], x["doc_id"], x["nid"]))
+    kinds = {"key": pa.int64(), "salt": pa.int32(), "late": pa.bool_(), "early": pa.bool_(), "doc_id": pa.int64(), "nid": pa.int64(), "l": pa.int32(), "p": pa.int32(), "r": pa.int32(), "sd": pa.int64(), "sn": pa.int64(), "data": pa.binary()}
+    table = pa.Table.from_pylist(rows, pa.schema(list(kinds.items())))
+    want = set()
+    for x in rows:
+        met, hits = np.frombuffer(x["data"], "<u2"), []
+        for y in rows:
+            if x["late"] and y["key"] == x["key"] and (y["doc_id"], y["nid"]) < (x["doc_id"], x["nid"]):
+                same = np.isin(met, np.frombuffer(y["data"], "<u2"))
+                if same.sum() >= need and any(a <= 22 < b for a, b in sd.best_runs(same, t, sd.SHARE / (1 - sd.SHARE))):
+                    hits.append((y["doc_id"], y["nid"]))
+        want |= {(x["key"], x["nid"], nid, k) for k, (_, nid) in enumerate(sorted(hits)[:most])}
+    assert len(want) > 100
+    for small, early, size in ((64, 512, 1000), (64, 512, 7), (1, 4, 9), (8, 3, 1000)):
+        monkeypatch.setattr(sd, "SMALL", small)
+        monkeypatch.setattr(sd, "EARLY", early)
+        monkeypatch.setattr(sd, "RARE", 4)
+        got = [r for b in sd._compare(t, most)(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert {(r["key"], r["nid"], r["a"], r["k"]) for r in got} == want and len(got) == len(want)
+
+
+def test_texts_are_exchanged_once(spark):
+    """Joins on a table that is dealt out by its key leave it where it is; the catalog forgets it."""
+    from logloom.llm._spark import discard, stash_by
+
+    texts = stash_by(spark.range(1000).selectExpr("id AS nid", "repeat('x', 100) AS text"), "nid")
+    assert not spark.catalog.listTables()
+    some = spark.range(2000).selectExpr("id % 500 AS nid").hint("merge")
+    met = texts.join(some, "nid")
+    assert met.count() == 2000
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and texts.count() == 1000
+    discard(texts)
